@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, packing, quality, sharding, token_orc
+from . import bpe, exact_dedup, license_scan, packing, quality, sharding, substring_dedup, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest_rows(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_rows(documents(spark, sf_dir))
 
@@ -45,4 +49,8 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op5_bpe, op6_quality, op7_packing, op9_token_orc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op4_substring_dedup, op5_bpe, op6_quality, op7_packing, op9_token_orc)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
