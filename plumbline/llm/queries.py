@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, packing, quality, sharding, substring_dedup, token_orc
+from . import bpe, exact_dedup, jaccard, license_scan, packing, quality, sharding, substring_dedup, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +43,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("ids")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes_of(documents(spark, sf_dir)).drop("node")
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_orc.round_trip(documents(spark, sf_dir))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op4_substring_dedup, op5_bpe, op6_quality, op7_packing, op9_token_orc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op4_substring_dedup, op5_bpe, op6_quality, op7_packing, op8_jaccard, op9_token_orc)}
 
 
 def oracle_sql() -> dict[str, str]:
