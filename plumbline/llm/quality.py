@@ -65,15 +65,21 @@ def _counts(text: Column) -> dict[str, Column]:
     return {"words": words, "lines": lines}
 
 
-def _joined_with(column: str, step: int):
-    return lambda h, i: F.xxhash64(h, F.get(F.col(column), i + step))
+def _once(value: Column) -> Column:
+    """The same value, but computed once for all that refer to it.  The row number (never below 0)
+    keeps the optimizer from copying the expression into every place that uses it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def _from(column: str, start: int) -> Column:
+    return F.slice(column, F.lit(start + 1), F.greatest(F.size(column) - start, F.lit(0)))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input's rows with the counts that rules refer to, under the prefix-free names of the rules."""
+    """The input's rows with the counts that rules refer to."""
     t = F.coalesce(F.col(text), F.lit(""))
     c = _counts(t)
-    df = docs.withColumns({"q_words": c["words"], "q_lines": c["lines"]})
+    df = docs.withColumns({"q_words": _once(c["words"]), "q_lines": _once(c["lines"])})
     df = df.withColumns({
         "n_words": F.size("q_words").cast("bigint"),
         "word_chars": F.length(_without(t, BLANKS)).cast("bigint"),
@@ -83,23 +89,20 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.filter("q_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint"),
         "n_double_marks": F.size(F.filter("q_words", lambda w: w.endswith("!!"))).cast("bigint"),
         "hundred": F.lit(100).cast("bigint"),
-        "q_hash": F.transform("q_words", lambda w: F.xxhash64(w)),
+        "q_hash": _once(F.transform("q_words", lambda w: F.xxhash64(w))),
     })
-    # One hash for each window, from pairs of pairs of pairs; each step is a column, so it is computed once.
+    # One hash for each window, from pairs of pairs of pairs.
     for step in (1, 2, 4):
         size = F.greatest(F.size("q_hash") - step, F.lit(0))
-        df = df.withColumn("q_hash", F.transform(F.slice("q_hash", F.lit(1), size), _joined_with("q_hash", step)))
-    df = df.withColumnRenamed("q_hash", "q_windows")
+        df = df.withColumn("q_hash", _once(F.zip_with(F.slice("q_hash", F.lit(1), size), _from("q_hash", step), lambda a, b: F.xxhash64(a, b))))
     # Most texts repeat no window: those are told by one count of distinct hashes.
-    df = df.withColumn("q_again", F.when(F.size(F.array_distinct("q_windows")) < F.size("q_windows"), F.array_sort(F.transform("q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    near = lambda x, k: (F.get(F.col("q_again"), k)["h"] == x["h"])
-    places = F.array_sort(F.transform(F.filter(F.col("q_again"), lambda x, k: F.coalesce(near(x, k - 1), F.lit(False)) | F.coalesce(near(x, k + 1), F.lit(False))), lambda x: x["i"]))
-    df = df.withColumn("q_places", places)
-    spans = F.aggregate(
-        F.transform("q_places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("q_places"), k + 1) - p, F.lit(WINDOW)))),
-        F.lit(0).cast("bigint"), lambda a, x: a + x,
-    )
-    return df.withColumn("n_repeat_words", F.coalesce(spans, F.lit(0)).cast("bigint")).drop("q_words", "q_lines", "q_windows", "q_again", "q_places")
+    sorted_ = F.sort_array(F.transform("q_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("q_again", _once(F.when(F.size(F.array_distinct("q_hash")) < F.size("q_hash"), sorted_)))
+    near = lambda x, k: F.coalesce(F.get(F.col("q_again"), k)["h"] == x["h"], F.lit(False))
+    df = df.withColumn("q_places", _once(F.sort_array(F.transform(F.filter("q_again", lambda x, k: near(x, k - 1) | near(x, k + 1)), lambda x: x["i"]))))
+    gaps = F.zip_with("q_places", _from("q_places", 1), lambda p, q: F.least(F.lit(WINDOW), F.coalesce(q - p, F.lit(WINDOW))))
+    repeated = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda total, x: total + x)
+    return df.withColumn("n_repeat_words", _once(F.coalesce(repeated, F.lit(0)).cast("bigint"))).drop("q_words", "q_lines", "q_hash", "q_again", "q_places")
 
 
 def fails(rules: tuple[Rule, ...]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, license_scan, packing, quality, sharding, substring_dedup, token_orc
+from . import bpe, exact_dedup, jaccard, license_scan, packing, pii, quality, sharding, substring_dedup, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,12 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_rows(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op4_substring_dedup, op5_bpe, op6_quality, op7_packing, op8_jaccard, op9_token_orc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op4_substring_dedup, op5_bpe, op6_quality, op7_packing, op8_jaccard, op9_token_orc, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
