@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,8 +37,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: read often, made once, safe from lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps whose results are written, as it does
+    whenever the driver collects garbage; a driver with memory to spare does so seldom."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def empty_if_null(text: str | Column) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import slices, written
+from .common import release, slices, written
 
 SHINGLE = 5
 THRESHOLD = Fraction(3, 4)
@@ -46,6 +46,8 @@ GROUPINGS, AGREEMENT = 4, 5
 #: Cells of the counting sketch: 4 MB of counts per task, whatever the input.
 CELL_BITS = 20
 BLOCK = 1 << 12
+#: Bytes of text that a task holds as sets at a time.
+SLICE = 4_000_000
 _SEEDS = W.mix(np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -99,7 +101,7 @@ def profiles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.int64)
         names = [x.split()[0] for x in PROFILE.split(", ")]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), k)
             np.add(cells, np.bincount((values >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells.size), out=cells)
             mins = _min_hashes(values, bounds)
@@ -162,7 +164,7 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int = SHINGL
             kept.update(zip(texts[-1:], out[-1:]))  # a leader goes on into the next batch
             return out
 
-        for batch in slices(batches, "text_a"):
+        for batch in slices(batches, "text_a", SLICE):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             found = sets(batch.column("text_a").to_pylist() + batch.column("text_b").to_pylist())
             out = []
@@ -223,7 +225,7 @@ def index_entries(docs: DataFrame, classes: np.ndarray, k: int = SHINGLE, thresh
     """The index prefix of every set: token, node, size and position, counted from 0."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), k)
             size = np.diff(bounds)
             own = np.repeat(np.arange(size.size), size)
@@ -303,6 +305,23 @@ def candidates(entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame
     return pair.distinct()
 
 
+def possible_by_prefix(pairs: DataFrame, entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Pairs whose index prefixes share as much as those of linked sets must.
+
+    Up to the smaller of both last prefix entries all that the sets share is in both prefixes, and at
+    most |x| - o entries there are not shared, o being the least overlap of a link; only entries that
+    several nodes have are looked at.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    lists = written(entries.groupBy("node").agg(F.collect_set("token").alias("tokens"), F.first("size").alias("size")), "prefixes")
+    one = lambda side: lists.select(F.col("node").alias(side), F.col("tokens").alias(f"{side}_tokens"), F.col("size").alias(f"{side}_size"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    overlap = F.ceil((F.col("a_size") + F.col("b_size")) * num / (num + den) - 1e-6)
+    prefix = lambda s: F.col(s) - F.ceil(F.col(s) * num / den - 1e-6) + 1
+    needed = F.least(*(prefix(s) - (F.col(s) - overlap) for s in ("a_size", "b_size")))
+    return both.filter(F.size(F.array_intersect("a_tokens", "b_tokens")) >= needed).select("a", "b")
+
+
 # -- the join -------------------------------------------------------------------------------
 def leaders(nodes: DataFrame) -> DataFrame:
     """a, b: a node and the leader to which most of its min-hashes point."""
@@ -335,20 +354,25 @@ def connect(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     nodes = own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("mins").alias("mins"))
     nodes = written(nodes, "nodes")
 
+    release(docs.sparkSession)
     led = written(compare(written(leaders(nodes), "proposals"), rows, nodes, k).withColumn("distance", distance()).withColumn("link", linked(threshold)), "led")
     links = led.filter("link").select("a", "b")
     roots = components(links)
 
     lists = written(shared_entries(index_entries(rows, classes, k, threshold)), "index")
+    release(docs.sparkSession)
     # Members hang below a leader they are linked with; all others stand for themselves.
     member = led.filter("link").select(F.col("a").alias("member"), F.col("b").alias("leader"), "distance")
     top = written(_with_component(lists, roots).join(member.select("member"), F.col("node") == F.col("member"), "left_anti"), "leader-lists")
-    answers = written(compare(written(candidates(top, threshold), "pairs"), rows, nodes, k).withColumn("distance", distance()).withColumn("link", linked(threshold)), "answers")
+    pairs = possible_by_prefix(written(candidates(top, threshold), "met"), lists, threshold)
+    answers = written(compare(written(pairs, "pairs"), rows, nodes, k).withColumn("distance", distance()).withColumn("link", linked(threshold)), "answers")
+    release(docs.sparkSession)
     links = written(links.unionByName(answers.filter("link").select("a", "b")), "links")
     roots = components(links)
 
     rest = candidates(_with_component(lists, roots), threshold).join(answers.select("a", "b"), ["a", "b"], "left_anti")
-    rest = _not_derived(written(rest, "pairs"), member, answers.filter("NOT link"), threshold)
+    rest = _not_derived(written(rest, "met"), member, answers.filter("NOT link"), threshold)
+    rest = possible_by_prefix(rest, lists, threshold)
     more = written(compare(written(rest, "pairs"), rows, nodes, k).filter(linked(threshold)).select("a", "b"), "links")
     if more.take(1):
         roots = components(written(links.unionByName(more), "links"))
