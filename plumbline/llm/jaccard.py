@@ -3,12 +3,12 @@
 Documents are sets of word shingles.  Equal sets are one node.  The join finds the links between
 nodes in two rounds that lean on relations between sets:
 
-1. Leaders.  Nodes that agree in most of eight min-hashes are grouped under one leader per min-hash;
+1. Leaders.  Nodes that agree in most of eight min-hashes are grouped under two leaders per pair of them;
    every member is compared with its leader, which gives exact links and the distance to the leader.
    Groups of near copies, however large, become one component here with one comparison per member.
 
-2. Block-skipping index.  Every node lists its shingles in one global order (those in frequent cells
-   of a counting sketch over all documents last) and indexes the first quarter, as prefix filtering
+2. Block-skipping index.  Every node lists its shingles in one global order (rising counts in
+   the cells of a counting sketch over all documents) and indexes the first quarter, as prefix filtering
    asks.  Index lists are cut into blocks by set size and by position: two entries of a list can
    only belong to a link when i + j <= (1/t - 1) * min(|x| - i, |y| - j), so entries behind a
    seventh of their set never meet each other and those blocks are skipped.  A list whose nodes are
@@ -41,10 +41,12 @@ from .common import release, slices, written
 SHINGLE = 5
 THRESHOLD = Fraction(3, 4)
 MIN_HASHES = 8
-#: Min-hashes that propose leaders, and the agreement that a proposal needs.
-GROUPINGS, AGREEMENT = 4, 5
-#: Cells of the counting sketch: 4 MB of counts per task, whatever the input.
-CELL_BITS = 20
+#: Min-hashes in which a node and a leader must agree.
+AGREEMENT = 5
+#: Leaders that a node is compared with.
+LEADERS = 2
+#: Cells of the counting sketch: 32 MB of counts per task, whatever the input.
+CELL_BITS = 22
 BLOCK = 1 << 12
 #: Bytes of text that a task holds as sets at a time.
 SLICE = 4_000_000
@@ -111,21 +113,22 @@ def profiles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         used = [b for b in range(cells.size // BLOCK) if cells[b * BLOCK : (b + 1) * BLOCK].any()]
         if used:
             m = len(used)
-            blocks = pa.array([cells[b * BLOCK : (b + 1) * BLOCK].astype("<i4").tobytes() for b in used], pa.binary())
+            narrow = "<u2" if cells.max() < 65536 else "<i8"
+            blocks = pa.array([cells[b * BLOCK : (b + 1) * BLOCK].astype(narrow).tobytes() for b in used], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(used, pa.int32()), blocks], names)
 
     return docs.mapInArrow(find, PROFILE)
 
 
 def frequency_classes(found: DataFrame) -> np.ndarray:
-    """For each cell of the sketch 0, or how far its count stands out; 1 MB on the driver, whatever
-    the input.  Counts are over all documents and only order the shingles: any order is exact."""
+    """For each cell of the sketch its count on a log scale; 4 MB on the driver, whatever the input.
+    Counts are over all documents and only order the shingles, rare cells first: any order is exact."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                own = np.frombuffer(raw, "<i8" if len(raw) == 8 * BLOCK else "<i4").astype(np.int64)
+                own = np.frombuffer(raw, "<i8" if len(raw) == 8 * BLOCK else "<u2").astype(np.int64)
                 held[b] = held[b] + own if b in held else own
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([x.astype("<i8").tobytes() for x in held.values()], pa.binary())], ["block", "counts"])
@@ -134,11 +137,9 @@ def frequency_classes(found: DataFrame) -> np.ndarray:
     # Tasks add up their own shares first, so that a block meets one row from each task.
     sums = blocks.mapInArrow(add, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
     cells = np.zeros(1 << CELL_BITS, np.int64)
-    for row in sums.collect():  # one row for each block: 256
+    for row in sums.collect():  # one row for each block: 1024
         cells[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], "<i8")
-    mean = cells.mean()
-    beyond = cells - (mean + 4 * np.sqrt(mean) + 4)
-    return np.where(beyond > 0, 1 + np.log2(1 + np.maximum(beyond, 0)), 0).astype(np.uint8)
+    return np.minimum(10 * np.log2(1 + cells), 255).astype(np.uint8)
 
 
 # -- comparing ------------------------------------------------------------------------------
@@ -324,20 +325,21 @@ def possible_by_prefix(pairs: DataFrame, entries: DataFrame, threshold: Fraction
 
 # -- the join -------------------------------------------------------------------------------
 def leaders(nodes: DataFrame) -> DataFrame:
-    """a, b: a node and the leader to which most of its min-hashes point."""
-    best = []
-    for i in range(GROUPINGS):
-        own = nodes.select("node", "n_shingles", "mins", F.get("mins", F.lit(i)).alias("key"))
-        # The smallest set leads: what a group shares is the largest part of it.
-        first = own.groupBy("key").agg(F.min(F.struct("n_shingles", "node", "mins")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("lead.node").alias("leader"), F.col("lead.mins").alias("leader_mins"))
-        best.append(own.join(written(first, "leaders"), "key").filter("node <> leader"))
-    agree = F.size(F.filter(F.arrays_zip("mins", "leader_mins"), lambda z: z["mins"] == z["leader_mins"]))
-    proposed = best[0]
-    for other in best[1:]:
-        proposed = proposed.unionByName(other)
-    proposed = proposed.select("node", "leader", agree.alias("agree")).filter(F.col("agree") >= AGREEMENT)
-    chosen = proposed.groupBy("node").agg(F.max(F.struct("agree", "leader")).alias("best"))
-    return chosen.select(F.col("node").alias("a"), F.col("best.leader").alias("b"))
+    """a, b: a node and the leaders to which most of its min-hashes point.
+
+    Nodes that agree in two neighbouring min-hashes are a group, led by its smallest and its largest
+    digest, which is to say by members taken at random.
+    """
+    slots = F.transform(F.sequence(F.lit(0), F.lit(MIN_HASHES - 1)), lambda i: F.xxhash64(i, F.get(F.col("mins"), i), F.get(F.col("mins"), F.pmod(i + 1, F.lit(MIN_HASHES)))))
+    own = written(nodes.select("node", "mins", F.explode(slots).alias("key")), "groupings")
+    row = F.struct("node", "mins")
+    groups = own.groupBy("key").agg(F.min(row).alias("low"), F.max(row).alias("high")).filter(F.col("low.node") != F.col("high.node"))
+    met = own.join(written(groups, "leaders"), "key").select("node", "mins", F.explode(F.array("low", "high")).alias("lead")).filter(F.col("node") != F.col("lead.node"))
+    agree = F.size(F.filter(F.arrays_zip(F.col("mins").alias("own"), F.col("lead.mins").alias("other")), lambda z: z["own"] == z["other"]))
+    proposed = met.select("node", F.struct(agree.alias("agree"), F.col("lead.node").alias("leader")).alias("offer")).filter(F.col("offer.agree") >= AGREEMENT)
+    # A node has at most two offers for each min-hash, so its set of offers is small.
+    offers = proposed.groupBy("node").agg(F.sort_array(F.collect_set("offer"), asc=False).alias("offers"))
+    return offers.select(F.col("node").alias("a"), F.explode(F.slice("offers", 1, LEADERS)).alias("offer")).select("a", F.col("offer.leader").alias("b"))
 
 
 def _with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -361,8 +363,9 @@ def connect(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
 
     lists = written(shared_entries(index_entries(rows, classes, k, threshold)), "index")
     release(docs.sparkSession)
-    # Members hang below a leader they are linked with; all others stand for themselves.
-    member = led.filter("link").select(F.col("a").alias("member"), F.col("b").alias("leader"), "distance")
+    # Members hang below the nearest leader they are linked with; all others stand for themselves.
+    nearest = led.filter("link").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("lead"))
+    member = written(nearest.select(F.col("a").alias("member"), F.col("lead.b").alias("leader"), F.col("lead.distance").alias("distance")), "members")
     top = written(_with_component(lists, roots).join(member.select("member"), F.col("node") == F.col("member"), "left_anti"), "leader-lists")
     pairs = possible_by_prefix(written(candidates(top, threshold), "met"), lists, threshold)
     answers = written(compare(written(pairs, "pairs"), rows, nodes, k).withColumn("distance", distance()).withColumn("link", linked(threshold)), "answers")
