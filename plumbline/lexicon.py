@@ -7,7 +7,7 @@ from __future__ import annotations
 
 #: Hosts and labels that mark a link; fixed values.
 ABUSED_TLDS = ("org", "zip", "top", "xyz", "click")
-BRANDS = ("news", "shop", "data", "docs")
+BRANDS = ("news", "blog", "casino", "example")
 SPAM_TOKENS = ("cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track", "adult-x")
 SHORTENERS = ("bit.ly", "t.co", "tinyurl.com", "is.gd", "goo.gl")
 TRACKING_PARAMETERS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid", "ref")
