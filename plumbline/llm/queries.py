@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, license_scan, packing, pii, quality, sharding, substring_dedup, token_orc
+from . import bpe, exact_dedup, jaccard, license_scan, oracles, packing, pii, quality, sharding, substring_dedup, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
