@@ -20,8 +20,8 @@ nodes in two rounds that lean on relations between sets:
 Links are exact: an ``intersection`` is counted over whole sets, and no cap or sample is used anywhere.
 
 Defined cases: null and word-less texts are empty sets, linked with nothing (component: their own
-id); texts with fewer words than a shingle are one shingle made of all; rows that repeat an id are
-one vertex of the graph, since links are between ids; null ids stay null when linked with nothing
+id); texts with fewer words than a shingle are one shingle made of all; rows that repeat an id
+with different texts are placed each by its own text; null ids stay null when linked with nothing
 and take the component's smallest id otherwise; an empty table gives no rows.
 """
 
