@@ -29,6 +29,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # Many small stores: space reserved ahead for each one's manifest would far exceed the state itself.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Rows of one digest are checked in so many parts before the parts are compared.
 PARTS = 64
