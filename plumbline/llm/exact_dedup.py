@@ -33,7 +33,7 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Rows of one digest are checked in so many parts before the parts are compared.
-PARTS = 64
+PARTS = 32
 
 
 def sha256(text: Column) -> Column:
@@ -62,10 +62,15 @@ def seen(rows: DataFrame, checkpoint: str, files_per_trigger: int = 1000) -> Dat
 
 
 def _shared_digests(texts: DataFrame, hit: DataFrame) -> DataFrame:
-    """Digests, among those hit, under which full texts differ."""
-    own = texts.join(hit, "digest")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")
-    parts = own.groupBy("digest", part).agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    """Digests, among those hit, under which full texts differ.
+
+    Texts are dealt once, by digest and part, so that a large group of copies is spread over parts;
+    the narrow rows of the digests are repeated for each part instead.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part")
+    each = hit.select("digest", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    own = texts.select("digest", "body", part).join(each, ["digest", "part"])
+    parts = own.groupBy("digest", "part").agg(F.min("body").alias("least"), F.max("body").alias("most"))
     whole = parts.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     return whole.filter("least <> most").select("digest")
 
