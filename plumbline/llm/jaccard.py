@@ -3,15 +3,19 @@
 Documents are sets of word shingles.  Equal sets are one node.  The join finds the links between
 nodes in two rounds that lean on relations between sets:
 
-1. Leaders.  Nodes that agree in most of eight min-hashes are grouped under two leaders per pair of them;
+1. Leaders.  Nodes that agree in half of eight min-hashes are grouped under leaders taken at random;
    every member is compared with its leader, which gives exact links and the distance to the leader.
-   Groups of near copies, however large, become one component here with one comparison per member.
+   Where members stay unlinked, the member nearest to the leader takes over and all are compared with
+   it: copies of one original are nearer to it than to each other, so this finds the original.
+   Groups of near copies, however large, become one component here with two comparisons per member.
 
 2. Block-skipping index.  Every node lists its shingles in one global order (rising counts in
    the cells of a counting sketch over all documents) and indexes the first quarter, as prefix filtering
    asks.  Index lists are cut into blocks by set size and by position: two entries of a list can
    only belong to a link when i + j <= (1/t - 1) * min(|x| - i, |y| - j), so entries behind a
-   seventh of their set never meet each other and those blocks are skipped.  A list whose nodes are
+   seventh of their set never meet each other and those blocks are skipped.  Entries also carry a
+   bitmap of their set, each bit the parity of the shingles that fall on it: bitmaps differ in no more
+   bits than their sets do in shingles, so pairs whose bitmaps differ too much don't meet.  A list whose nodes are
    all of one component is skipped as a whole: its answers follow from those computed before.
    First leaders are compared with leaders; the answers of the others are then derived from them:
    members of components that have met are done, and pairs whose leaders were found too far apart
@@ -42,12 +46,12 @@ SHINGLE = 5
 THRESHOLD = Fraction(3, 4)
 MIN_HASHES = 8
 #: Min-hashes in which a node and a leader must agree.
-AGREEMENT = 5
-#: Leaders that a node is compared with.
-LEADERS = 2
+AGREEMENT = 4
 #: Cells of the counting sketch: 32 MB of counts per task, whatever the input.
 CELL_BITS = 22
 BLOCK = 1 << 12
+#: 64-bit words of a set's parity bitmap.
+LANES = 8
 #: Bytes of text that a task holds as sets at a time.
 SLICE = 4_000_000
 _SEEDS = W.mix(np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -90,11 +94,23 @@ def _min_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _bitmaps(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set the parities of its shingles' numbers on each of 64 * LANES bits."""
+    filled = np.nonzero(np.diff(bounds) > 0)[0]
+    out = np.zeros((bounds.size - 1, LANES), np.uint64)
+    if filled.size:
+        bit = np.uint64(1) << (values & np.uint64(63))
+        lane = (values >> np.uint64(6)) % np.uint64(LANES)
+        for i in range(LANES):
+            out[filled, i] = np.bitwise_xor.reduceat(np.where(lane == i, bit, np.uint64(0)), bounds[filled])
+    return out.view(np.int64)
+
+
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-PROFILE = "doc_id bigint, node bigint, n_shingles bigint, mins array<bigint>, block int, counts binary"
+PROFILE = "doc_id bigint, node bigint, n_shingles bigint, mins array<bigint>, bits array<bigint>, block int, counts binary"
 
 
 def profiles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -106,16 +122,15 @@ def profiles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         for batch in slices(batches, "text", SLICE):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), k)
             np.add(cells, np.bincount((values >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells.size), out=cells)
-            mins = _min_hashes(values, bounds)
             n = batch.num_rows
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * MIN_HASHES, pa.int32()), pa.array(mins.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_set_ids(values, bounds)), pa.array(np.diff(bounds), pa.int64()), lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (_min_hashes(values, bounds), _bitmaps(values, bounds))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_set_ids(values, bounds)), pa.array(np.diff(bounds), pa.int64()), *lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         used = [b for b in range(cells.size // BLOCK) if cells[b * BLOCK : (b + 1) * BLOCK].any()]
         if used:
             m = len(used)
             narrow = "<u2" if cells.max() < 65536 else "<i8"
             blocks = pa.array([cells[b * BLOCK : (b + 1) * BLOCK].astype(narrow).tobytes() for b in used], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(used, pa.int32()), blocks], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.list_(pa.int64()))] * 2, pa.array(used, pa.int32()), blocks], names)
 
     return docs.mapInArrow(find, PROFILE)
 
@@ -219,6 +234,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 # -- index ----------------------------------------------------------------------------------
+BITS = [f"bits_{i}" for i in range(LANES)]
 ENTRY = "token bigint, node bigint, size int, at int"
 
 
@@ -289,19 +305,22 @@ def shared_entries(entries: DataFrame) -> DataFrame:
 def candidates(entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Pairs a < b of different components that meet in blocks of some list which positions allow.
 
-    ``entries`` has token, node, size, at and component.
+    ``entries`` has token, node, size, at, the lanes of the bitmap and component.
     """
     t = float(threshold)
     many = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
     open_ = written(entries.join(written(many, "open"), "token", "left_semi").withColumn("size_block", F.floor(F.log("size") / np.log(1 / t)).cast("int")), "open-lists")
     # i + j <= (1/t - 1) * min(|x| - i, |y| - j), so one of a pair has (2/t - 1) * i <= (1/t - 1) * |x|.
     front = open_.filter((2 / t - 1) * F.col("at") <= (1 / t - 1) * F.col("size") + 1e-6)
-    x = front.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "at", "component")), F.explode(F.array(*(F.col("size_block") + d for d in (-1, 0, 1)))).alias("size_block"))
-    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "at", "component")), "size_block")
+    x = front.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "at", "component", *BITS)), F.explode(F.array(*(F.col("size_block") + d for d in (-1, 0, 1)))).alias("size_block"))
+    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "at", "component", *BITS)), "size_block")
     met = x.join(y, ["token", "size_block"])
     rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     possible = (F.col("x_component") != F.col("y_component")) & (F.col("x_at") + F.col("y_at") <= (1 / t - 1) * rest + 1e-6)
     possible = possible & (F.least("x_size", "y_size") >= t * F.greatest("x_size", "y_size") - 1e-6)
+    # |x Δ y| <= (1 - t) / (1 + t) * (|x| + |y|) for linked sets, and bitmaps differ in no more bits.
+    differing = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in BITS), F.lit(0))
+    possible = possible & (differing <= (1 - t) / (1 + t) * (F.col("x_size") + F.col("y_size")) + 1e-6)
     pair = met.filter(possible).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
     return pair.distinct()
 
@@ -339,7 +358,14 @@ def leaders(nodes: DataFrame) -> DataFrame:
     proposed = met.select("node", F.struct(agree.alias("agree"), F.col("lead.node").alias("leader")).alias("offer")).filter(F.col("offer.agree") >= AGREEMENT)
     # A node has at most two offers for each min-hash, so its set of offers is small.
     offers = proposed.groupBy("node").agg(F.sort_array(F.collect_set("offer"), asc=False).alias("offers"))
-    return offers.select(F.col("node").alias("a"), F.explode(F.slice("offers", 1, LEADERS)).alias("offer")).select("a", F.col("offer.leader").alias("b"))
+    return offers.select(F.col("node").alias("a"), F.col("offers")[0]["leader"].alias("b"))
+
+
+def hubs(led: DataFrame) -> DataFrame:
+    """b, hub: for each leader b with unlinked members, the member that is nearest to it and linked."""
+    near = F.min(F.when(F.col("link"), F.struct("distance", "a"))).alias("near")
+    groups = led.groupBy("b").agg(near, F.count_if(~F.col("link")).alias("unlinked"))
+    return groups.filter("unlinked > 0 AND near IS NOT NULL").select("b", F.col("near.a").alias("hub"))
 
 
 def _with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -353,15 +379,23 @@ def connect(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     found = written(profiles(rows, k), "profiles")
     classes = frequency_classes(found)
     own = found.filter("block IS NULL").drop("block", "counts")
-    nodes = own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("mins").alias("mins"))
+    nodes = own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("mins").alias("mins"), F.min("bits").alias("bits"))
     nodes = written(nodes, "nodes")
 
     release(docs.sparkSession)
-    led = written(compare(written(leaders(nodes), "proposals"), rows, nodes, k).withColumn("distance", distance()).withColumn("link", linked(threshold)), "led")
+    told = lambda pairs: compare(pairs, rows, nodes, k).select("a", "b", distance().alias("distance"), linked(threshold).alias("link"))
+    led = written(told(written(leaders(nodes), "proposals")), "led")
+    taken_over = led.join(written(hubs(led), "hubs"), "b", "left")
+    again = told(written(taken_over.filter("a <> hub").select("a", F.col("hub").alias("b")), "proposals"))
+    # A leader becomes a member of the hub that takes over.
+    is_hub = F.coalesce(F.col("a") == F.col("hub"), F.lit(False))
+    led = taken_over.select(F.when(is_hub, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(is_hub, F.col("a")).otherwise(F.col("b")).alias("b"), "distance", "link")
+    led = written(led.unionByName(again), "led")
     links = led.filter("link").select("a", "b")
     roots = components(links)
 
-    lists = written(shared_entries(index_entries(rows, classes, k, threshold)), "index")
+    bitmaps = nodes.select("node", *(F.col("bits")[i].alias(b) for i, b in enumerate(BITS)))
+    lists = written(shared_entries(index_entries(rows, classes, k, threshold)).join(bitmaps, "node").select("token", "node", "size", "at", *BITS), "index")
     release(docs.sparkSession)
     # Members hang below the nearest leader they are linked with; all others stand for themselves.
     nearest = led.filter("link").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("lead"))
