@@ -15,7 +15,9 @@ nodes in two rounds that lean on relations between sets:
    only belong to a link when i + j <= (1/t - 1) * min(|x| - i, |y| - j), so entries behind a
    seventh of their set never meet each other and those blocks are skipped.  Entries also carry a
    bitmap of their set, each bit the parity of the shingles that fall on it: bitmaps differ in no more
-   bits than their sets do in shingles, so pairs whose bitmaps differ too much don't meet.  A list whose nodes are
+   bits than their sets do in shingles, so pairs whose bitmaps differ too much don't meet.  And they
+   carry the set's shingles just before their own: where one of them is also just before the other
+   entry, the pair has met in that shingle's list, and this later meeting is skipped.  A list whose nodes are
    all of one component is skipped as a whole: its answers follow from those computed before.
    First leaders are compared with leaders; the answers of the others are then derived from them:
    members of components that have met are done, and pairs whose leaders were found too far apart
@@ -52,6 +54,8 @@ CELL_BITS = 22
 BLOCK = 1 << 12
 #: 64-bit words of a set's parity bitmap.
 LANES = 8
+#: Earlier shingles of its set that an index entry carries.
+BEFORE = 3
 #: Bytes of text that a task holds as sets at a time.
 SLICE = 4_000_000
 _SEEDS = W.mix(np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -235,11 +239,13 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 # -- index ----------------------------------------------------------------------------------
 BITS = [f"bits_{i}" for i in range(LANES)]
-ENTRY = "token bigint, node bigint, size int, at int"
+EARLIER = [f"before_{i}" for i in range(1, BEFORE + 1)]
+ENTRY = ", ".join(["token bigint", "node bigint", "size int", "at int", *(f"{b} bigint" for b in EARLIER)])
 
 
 def index_entries(docs: DataFrame, classes: np.ndarray, k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The index prefix of every set: token, node, size and position, counted from 0."""
+    """The index prefix of every set: token, node, size and position, counted from 0, with the
+    shingles that precede it in the set's order (null before the first)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -250,9 +256,11 @@ def index_entries(docs: DataFrame, classes: np.ndarray, k: int = SHINGLE, thresh
             at = np.arange(values.size) - bounds[own]
             least = -(-size * threshold.numerator // threshold.denominator)
             in_prefix = at <= (size - least)[own]
-            own, at, token = own[in_prefix], at[in_prefix], values[order][in_prefix]
+            ordered, place = values[order].view(np.int64), np.nonzero(in_prefix)[0]
+            own, at = own[in_prefix], at[in_prefix]
+            earlier = [pa.array(ordered[np.maximum(place - i, 0)], mask=at < i) for i in range(1, BEFORE + 1)]
             ids = _set_ids(values, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[own]), pa.array(size[own], pa.int32()), pa.array(at, pa.int32())], ["token", "node", "size", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(ordered[place]), pa.array(ids[own]), pa.array(size[own], pa.int32()), pa.array(at, pa.int32()), *earlier], ["token", "node", "size", "at", *EARLIER])
 
     return docs.select("text").mapInArrow(find, ENTRY)
 
@@ -305,15 +313,15 @@ def shared_entries(entries: DataFrame) -> DataFrame:
 def candidates(entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Pairs a < b of different components that meet in blocks of some list which positions allow.
 
-    ``entries`` has token, node, size, at, the lanes of the bitmap and component.
+    ``entries`` has token, node, size, at, the shingles before, the lanes of the bitmap and component.
     """
     t = float(threshold)
     many = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
     open_ = written(entries.join(written(many, "open"), "token", "left_semi").withColumn("size_block", F.floor(F.log("size") / np.log(1 / t)).cast("int")), "open-lists")
     # i + j <= (1/t - 1) * min(|x| - i, |y| - j), so one of a pair has (2/t - 1) * i <= (1/t - 1) * |x|.
     front = open_.filter((2 / t - 1) * F.col("at") <= (1 / t - 1) * F.col("size") + 1e-6)
-    x = front.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "at", "component", *BITS)), F.explode(F.array(*(F.col("size_block") + d for d in (-1, 0, 1)))).alias("size_block"))
-    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "at", "component", *BITS)), "size_block")
+    x = front.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "at", "component", *EARLIER, *BITS)), F.explode(F.array(*(F.col("size_block") + d for d in (-1, 0, 1)))).alias("size_block"))
+    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "at", "component", *EARLIER, *BITS)), "size_block")
     met = x.join(y, ["token", "size_block"])
     rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     possible = (F.col("x_component") != F.col("y_component")) & (F.col("x_at") + F.col("y_at") <= (1 / t - 1) * rest + 1e-6)
@@ -321,6 +329,10 @@ def candidates(entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame
     # |x Δ y| <= (1 - t) / (1 + t) * (|x| + |y|) for linked sets, and bitmaps differ in no more bits.
     differing = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in BITS), F.lit(0))
     possible = possible & (differing <= (1 - t) / (1 + t) * (F.col("x_size") + F.col("y_size")) + 1e-6)
+    # Linked sets meet at the first shingle they share, where nothing before it is shared.
+    for i in EARLIER:
+        for j in EARLIER:
+            possible = possible & ~F.coalesce(F.col(f"x_{i}") == F.col(f"y_{j}"), F.lit(False))
     pair = met.filter(possible).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
     return pair.distinct()
 
@@ -395,7 +407,7 @@ def connect(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     roots = components(links)
 
     bitmaps = nodes.select("node", *(F.col("bits")[i].alias(b) for i, b in enumerate(BITS)))
-    lists = written(shared_entries(index_entries(rows, classes, k, threshold)).join(bitmaps, "node").select("token", "node", "size", "at", *BITS), "index")
+    lists = written(shared_entries(index_entries(rows, classes, k, threshold)).join(bitmaps, "node").select("token", "node", "size", "at", *EARLIER, *BITS), "index")
     release(docs.sparkSession)
     # Members hang below the nearest leader they are linked with; all others stand for themselves.
     nearest = led.filter("link").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("lead"))
