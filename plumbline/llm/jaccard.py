@@ -19,7 +19,8 @@ nodes in two rounds that lean on relations between sets:
    carry the set's shingles just before their own: where one of them is also just before the other
    entry, the pair has met in that shingle's list, and this later meeting is skipped.  A list whose nodes are
    all of one component is skipped as a whole: its answers follow from those computed before.
-   First leaders are compared with leaders; the answers of the others are then derived from them:
+   First leaders are compared with leaders, then nodes with one node of each component that sends
+   an envoy to one of their lists; the answers of the others are then derived from them:
    members of components that have met are done, and pairs whose leaders were found too far apart
    are dropped by the triangle inequality of the Jaccard distance.  Only what is left is compared.
 
@@ -326,9 +327,7 @@ def candidates(entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame
     rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     possible = (F.col("x_component") != F.col("y_component")) & (F.col("x_at") + F.col("y_at") <= (1 / t - 1) * rest + 1e-6)
     possible = possible & (F.least("x_size", "y_size") >= t * F.greatest("x_size", "y_size") - 1e-6)
-    # |x Δ y| <= (1 - t) / (1 + t) * (|x| + |y|) for linked sets, and bitmaps differ in no more bits.
-    differing = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in BITS), F.lit(0))
-    possible = possible & (differing <= (1 - t) / (1 + t) * (F.col("x_size") + F.col("y_size")) + 1e-6)
+    possible = possible & (differing_bits("x_{}", "y_{}") <= most_differing("x_size", "y_size", threshold))
     # Linked sets meet at the first shingle they share, where nothing before it is shared.
     for i in EARLIER:
         for j in EARLIER:
@@ -337,6 +336,35 @@ def candidates(entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame
     return pair.distinct()
 
 
+def differing_bits(x: str, y: str) -> Column:
+    """The bits in which two bitmaps differ: no more than the shingles in which their sets do."""
+    return sum((F.bit_count(F.col(x.format(b)).bitwiseXOR(F.col(y.format(b)))) for b in BITS), F.lit(0))
+
+
+def most_differing(x_size: str, y_size: str, threshold: Fraction) -> Column:
+    """|x Δ y| <= (1 - t) / (1 + t) * (|x| + |y|) for linked sets."""
+    t = float(threshold)
+    return (1 - t) / (1 + t) * (F.col(x_size) + F.col(y_size)) + 1e-6
+
+
+def envoys(entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """a, b: each node and, for each component that it meets through an envoy, the likeliest partner.
+
+    In every list the smallest and the largest component send one node each, taken at random, to
+    which the nodes of other components are held.  Pairs grow with the entries, not with the
+    square of a list; a node that differs from its component's leader but not from most others,
+    as copies of a copy do, is linked here before all that could be linked are met.
+    """
+    size, node = ["node", "size", *BITS], F.struct("component", F.xxhash64("token", "node").alias("chance"), "node", "size", *BITS)
+    ends = entries.groupBy("token").agg(F.min(node).alias("low"), F.max(node).alias("high")).filter("low.component < high.component")
+    met = entries.select("token", "component", *size).join(written(ends, "envoys"), "token")
+    other = met.select("component", *size, F.when(F.col("component") == F.col("low.component"), F.col("high")).otherwise(F.col("low")).alias("other"))
+    differing = differing_bits("{}", "other.{}")
+    near = other.select("node", "other.component", F.struct(differing.alias("bits"), F.col("other.node").alias("partner")).alias("offer"), (differing <= most_differing("size", "other.size", threshold)).alias("possible"))
+    best = near.filter("possible").groupBy("node", "component").agg(F.min("offer").alias("offer"))
+    return best.select(F.least("node", "offer.partner").alias("a"), F.greatest("node", "offer.partner").alias("b")).distinct()
+
+
 def possible_by_prefix(pairs: DataFrame, entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Pairs whose index prefixes share as much as those of linked sets must.
 
@@ -419,6 +447,13 @@ def connect(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     links = written(links.unionByName(answers.filter("link").select("a", "b")), "links")
     roots = components(links)
 
+    sent = envoys(_with_component(lists, roots), threshold).join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    told_more = compare(written(sent, "pairs"), rows, nodes, k).withColumn("distance", distance()).withColumn("link", linked(threshold))
+    answers = written(answers.unionByName(told_more), "answers")
+    release(docs.sparkSession)
+    links = written(links.unionByName(answers.filter("link").select("a", "b")).distinct(), "links")
+    roots = components(links)
+
     rest = candidates(_with_component(lists, roots), threshold).join(answers.select("a", "b"), ["a", "b"], "left_anti")
     rest = _not_derived(written(rest, "met"), member, answers.filter("NOT link"), threshold)
     rest = possible_by_prefix(rest, lists, threshold)
