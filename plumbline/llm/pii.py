@@ -2,14 +2,16 @@
 
 Seeds are the entities that four fixed grammars find: e-mail addresses, IP addresses, payment cards
 and phone numbers.  Every identifier-like run of a text, seed or not, is an instance that stands in
-lexical patterns: the words before it, the word after it, and its own shape.  Spark holds the graph
+lexical patterns: one or two words before it, or the words on both sides, each with and without its own
+shape; patterns without the shape reach identifiers of a form that no seed has.  Spark holds the graph
 of patterns and instances as a table of edges and scores it in rounds, as bootstrapped extraction
 does: a pattern's confidence is the share of its instances, by score, that are of its kind, an
 instance's score the chance that at least one of its patterns is right (noisy or).  Patterns of high
-confidence and enough distinct seeds then claim the unseen identifiers that stand in them, and claimed
-instances support further patterns in the next round.
+confidence and enough distinct instances of the kind (seeds, and claimed ones by score) then claim the
+unseen identifiers that stand in them, and claimed instances support further patterns in the next round.
 
-The graph only has identifier-like runs (an ``@``, or ``MIN_DIGITS`` digits), not all words.
+The graph only has identifier-like runs (an ``@``, or ``MIN_DIGITS`` digits), not all words.  Number-like
+runs with single blanks between them are also one run as a whole; where the whole is claimed its parts are not.
 Patterns are grouped by key with partial sums, so a context as frequent as a third of all rows sends
 one row from each task.
 
@@ -34,8 +36,10 @@ from .common import slices, written
 KINDS = ("email", "ip", "card", "phone")
 #: An unseen run must have an ``@`` or this many digits to be an identifier at all.
 MIN_DIGITS = 7
+#: A number written with blanks has no more digits than this, which no account number exceeds.
+MAX_DIGITS = 34
 ROUNDS = 3
-#: A pattern extracts when this share of its instances is of its kind and so many distinct seeds stand in it.
+#: A pattern extracts when this share of its instances is of its kind and their scores add up to this support.
 CONFIDENCE, SUPPORT = 0.9, 3
 #: Characters looked at on either side for context words.
 REACH = 80
@@ -47,6 +51,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
+#: A part of a number that is written with blanks; letters of a country may come first.
+_PART = re.compile(r"(?:[A-Z]{2})?[+(]*[0-9](?:[0-9().+/-]*[0-9])?")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "\"'`()[]{}<>,;:!?."
 
@@ -123,22 +129,37 @@ def _shape(value: str) -> str:
 
 
 def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
-    before = [w.strip(_EDGE).lower() for w in _WORD.findall(text[max(0, start - REACH) : start])]
-    after = [w.strip(_EDGE).lower() for w in _WORD.findall(text[end : end + REACH])]
+    """The two words before and the word after, ``^`` and ``$`` where the text ends; punctuation is no word."""
+    bare = lambda part: [w for x in _WORD.findall(part) if (w := x.strip(_EDGE).lower())]
+    before, after = bare(text[max(0, start - REACH) : start]), bare(text[end : end + REACH])
     flat = lambda w: _DIGIT.sub("9", w)
     last = flat(before[-1]) if before else "^"
     second = flat(before[-2]) if len(before) > 1 else "^"
     return second, last, flat(after[0]) if after else "$"
 
 
-def instances(text: str | None, spans: list[Span]) -> list[tuple[str, str | None, int, int, list[str]]]:
-    """value, kind of a seed, place and patterns of every identifier-like run and every seed."""
-    if not text:
-        return []
-    found: list[tuple[str | None, int, int]] = [(k, a, b) for k, a, b in spans]
-    taken = sorted((a, b) for _, a, b in spans)
-    i = 0
-    for a, b in _runs(text):
+def _patterns(text: str, start: int, end: int) -> list[str]:
+    second, last, after = _context(text, start, end)
+    shape = _shape(text[start:end])
+    out = [f"L2 {second} {last} {shape}", f"LR {last} {after} {shape}"]
+    # Without the shape a pattern needs a word; the text's ends alone say nothing.
+    if last != "^":
+        out += [f"C1 {last}", f"C2 {second} {last}"]
+    if (last, after) != ("^", "$"):
+        out.append(f"CR {last} {after}")
+    return out
+
+
+def _identifier(value: str) -> bool:
+    return "@" in value[1:-1] or sum(map(str.isdigit, value)) >= MIN_DIGITS
+
+
+def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, tuple[int, int] | None]]:
+    """Place of every identifier-like run clear of the taken places, and of the whole number that it is a part of."""
+    chains: list[list[tuple[int, int]]] = []
+    i, behind = 0, None  # behind: where the last run ended, if a number may go on there
+    for first, end in _runs(text):
+        a, b = first, end
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:
@@ -146,17 +167,32 @@ def instances(text: str | None, spans: list[Span]) -> list[tuple[str, str | None
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if i < len(taken) and taken[i][0] < b:
+            behind = None
             continue
-        value = text[a:b]
-        if "@" in value[1:-1] or sum(map(str.isdigit, value)) >= MIN_DIGITS:
-            found.append((None, a, b))
-    out = []
-    for kind, a, b in found:
-        value = text[a:b]
-        second, last, after = _context(text, a, b)
-        shape = _shape(value)
-        out.append((value, kind, a, b, [f"L2 {second} {last} {shape}", f"LR {last} {after} {shape}"]))
-    return out
+        number = _PART.fullmatch(text, a, b)
+        if number and behind == first - 1 and text[behind] in " \t" and not text[first:a].strip("("):
+            chains[-1].append((a, b))
+        else:
+            chains.append([(a, b)])
+        behind = end if number and not text[b:end].strip(")") else None
+    for parts in chains:
+        whole = (parts[0][0], parts[-1][1])
+        if len(parts) > 1 and MIN_DIGITS <= sum(map(str.isdigit, text[slice(*whole)])) <= MAX_DIGITS:
+            yield *whole, None
+        else:
+            whole = None
+        for a, b in parts:
+            if _identifier(text[a:b]):
+                yield a, b, whole
+
+
+def instances(text: str | None, spans: list[Span]) -> list[tuple[str, str | None, int, int, list[str], str | None]]:
+    """value, kind of a seed, place, patterns and whole number of every identifier-like run and every seed."""
+    if not text:
+        return []
+    found = [(kind, a, b, None) for kind, a, b in spans]
+    found += [(None, *c) for c in _candidates(text, sorted((a, b) for _, a, b in spans))]
+    return [(text[a:b], kind, a, b, _patterns(text, a, b), whole and text[slice(*whole)]) for kind, a, b, whole in found]
 
 
 _FOUND = T.StructType([
@@ -164,10 +200,10 @@ _FOUND = T.StructType([
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
     T.StructField("instances", T.ArrayType(T.StructType([
         T.StructField("value", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()), T.StructField("patterns", T.ArrayType(T.StringType()))]))),
+        T.StructField("end", T.IntegerType()), T.StructField("patterns", T.ArrayType(T.StringType())), T.StructField("whole", T.StringType())]))),
 ])
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_INSTANCE_TYPE = pa.list_(pa.struct([("value", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string()))]))
+_INSTANCE_TYPE = pa.list_(pa.struct([("value", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string())), ("whole", pa.string())]))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,7 +217,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             for t in batch.column("text").to_pylist():
                 own = base_spans(t)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                found.append([{"value": v, "kind": k, "start": a, "end": b, "patterns": p} for v, k, a, b, p in instances(t, own)])
+                found.append([{"value": v, "kind": k, "start": a, "end": b, "patterns": p, "whole": w} for v, k, a, b, p, w in instances(t, own)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(spans, _SPAN_TYPE), pa.array(found, _INSTANCE_TYPE)], ["doc_id", "row_key", "spans", "instances"])
 
     return rows.mapInArrow(find, _FOUND)
@@ -195,15 +231,15 @@ def score(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE
     """
     each = found.select(F.explode("instances").alias("i")).select("i.value", "i.kind", F.explode("i.patterns").alias("pattern"))
     edges = written(each.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "edges")
-    total = written(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("seed").alias("seeds")).filter(F.col("seeds") >= support), "patterns")
-    # Patterns without seeds can't be trusted in any round, nor values that stand in none of the others.
-    live = written(edges.join(total.select("pattern", "n"), "pattern"), "live-edges")
+    # A score is 1 at most, so patterns of fewer values can't be trusted in any round.
+    total = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support), "patterns")
+    live = written(edges.join(total, "pattern"), "live-edges")
     claimed = live.select("value", F.lit("").alias("kind"), F.lit(0.0).alias("score")).limit(0)
     for _ in range(rounds):
-        known = live.filter("seed IS NOT NULL").select("pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("score"), F.lit(1).alias("is_seed"), "n")
-        learnt = live.filter("seed IS NULL").join(claimed, "value").select("pattern", "kind", "score", F.lit(0).alias("is_seed"), "n")
-        by_kind = known.unionByName(learnt).groupBy("pattern", "kind").agg((F.sum("score") / F.max("n")).alias("trust"), F.sum("is_seed").alias("seeds"))
-        trusted = by_kind.filter((F.col("trust") >= confidence) & (F.col("seeds") >= support)).select("pattern", "kind", "trust")
+        known = live.filter("seed IS NOT NULL").select("pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("score"), "n")
+        learnt = live.filter("seed IS NULL").join(claimed, "value").select("pattern", "kind", "score", "n")
+        by_kind = known.unionByName(learnt).groupBy("pattern", "kind").agg((F.sum("score") / F.max("n")).alias("trust"), F.sum("score").alias("support"))
+        trusted = by_kind.filter((F.col("trust") >= confidence) & (F.col("support") >= support)).select("pattern", "kind", "trust")
         doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6))))
         scored = live.filter("seed IS NULL").join(written(trusted, "trusted"), "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
         claimed = written(scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best")).select("value", F.col("best.kind").alias("kind"), F.col("best.score").alias("score")), "claimed")
@@ -214,8 +250,9 @@ def extract(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: in
     """doc_id, row_key, the grammars' spans and the spans that patterns add, for every row."""
     found = written(scan(docs, key, text), "instances")
     claimed = written(score(found, rounds, confidence, support), "identifiers")
-    unseen = found.select("doc_id", "row_key", F.explode("instances").alias("i")).filter("i.kind IS NULL").select("doc_id", "row_key", "i.value", "i.start", "i.end")
-    added = unseen.join(claimed, "value").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+    unseen = found.select("doc_id", "row_key", F.explode("instances").alias("i")).filter("i.kind IS NULL").select("doc_id", "row_key", "i.value", "i.start", "i.end", "i.whole")
+    told = unseen.join(claimed, "value").join(claimed.select(F.col("value").alias("whole")), "whole", "left_anti")
+    added = told.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     added = added.select(F.col("doc_id").alias("added_id"), F.col("row_key").alias("added_key"), "added")
     same = found["doc_id"].eqNullSafe(added["added_id"]) & (found["row_key"] == added["added_key"])
     return found.select("doc_id", "row_key", "spans").join(added, same, "left").select("doc_id", "row_key", "spans", F.coalesce("added", F.array().cast(found.schema["spans"].dataType)).alias("added"))
