@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .common import release, slices, written
@@ -162,13 +163,37 @@ def frequency_classes(found: DataFrame) -> np.ndarray:
     return np.minimum(10 * np.log2(1 + cells), 255).astype(np.uint8)
 
 
+def with_nodes(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """The rows with the node of their text, 0 where it has no words."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            ids = _set_ids(*shingle_sets(batch.column("text").to_pylist(), k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "node"])
+
+    return rows.mapInArrow(find, T.StructType([*rows.schema.fields]).add("node", "long"))
+
+
+def texts_without_id(docs: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame | None:
+    """node and a text of it, for the nodes that have no id by which compare() could fetch one."""
+    bare = nodes.filter("doc_id IS NULL").select("node")
+    if not bare.take(1):
+        return None
+    own = with_nodes(docs.filter("doc_id IS NULL").select("text"), k).join(bare, "node", "left_semi")
+    return written(own.groupBy("node").agg(F.min("text").alias("text")), "texts-without-id")
+
+
 # -- comparing ------------------------------------------------------------------------------
-def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame:
+def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int = SHINGLE, bare: DataFrame | None = None) -> DataFrame:
     """a, b with sizes and the exact intersection of their sets.  Both texts travel to a pair; the
-    text of a leader is repeated only while a task streams over its members."""
+    text of a leader is repeated only while a task streams over its members.  ``bare`` has the texts
+    of nodes without an id."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     where = nodes.select("node", "doc_id").join(ends, "node", "left_semi")
-    own = written(docs.join(where, "doc_id").select("node", "text").dropna(), "texts")
+    own = docs.join(where, "doc_id").select("node", "text").dropna()
+    if bare is not None:
+        own = own.unionByName(bare.join(ends, "node", "left_semi").select("node", "text"))
+    own = written(own, "texts")
     first = pairs.join(own.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a")
     both = first.join(own.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -421,9 +446,10 @@ def connect(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     own = found.filter("block IS NULL").drop("block", "counts")
     nodes = own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("mins").alias("mins"), F.min("bits").alias("bits"))
     nodes = written(nodes, "nodes")
+    bare = texts_without_id(rows, nodes, k)
 
     release(docs.sparkSession)
-    told = lambda pairs: compare(pairs, rows, nodes, k).select("a", "b", distance().alias("distance"), linked(threshold).alias("link"))
+    told = lambda pairs: compare(pairs, rows, nodes, k, bare).select("a", "b", distance().alias("distance"), linked(threshold).alias("link"))
     led = written(told(written(leaders(nodes), "proposals")), "led")
     taken_over = led.join(written(hubs(led), "hubs"), "b", "left")
     again = told(written(taken_over.filter("a <> hub").select("a", F.col("hub").alias("b")), "proposals"))
@@ -442,13 +468,13 @@ def connect(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     member = written(nearest.select(F.col("a").alias("member"), F.col("lead.b").alias("leader"), F.col("lead.distance").alias("distance")), "members")
     top = written(_with_component(lists, roots).join(member.select("member"), F.col("node") == F.col("member"), "left_anti"), "leader-lists")
     pairs = possible_by_prefix(written(candidates(top, threshold), "met"), lists, threshold)
-    answers = written(compare(written(pairs, "pairs"), rows, nodes, k).withColumn("distance", distance()).withColumn("link", linked(threshold)), "answers")
+    answers = written(compare(written(pairs, "pairs"), rows, nodes, k, bare).withColumn("distance", distance()).withColumn("link", linked(threshold)), "answers")
     release(docs.sparkSession)
     links = written(links.unionByName(answers.filter("link").select("a", "b")), "links")
     roots = components(links)
 
     sent = envoys(_with_component(lists, roots), threshold).join(answers.select("a", "b"), ["a", "b"], "left_anti")
-    told_more = compare(written(sent, "pairs"), rows, nodes, k).withColumn("distance", distance()).withColumn("link", linked(threshold))
+    told_more = compare(written(sent, "pairs"), rows, nodes, k, bare).withColumn("distance", distance()).withColumn("link", linked(threshold))
     answers = written(answers.unionByName(told_more), "answers")
     release(docs.sparkSession)
     links = written(links.unionByName(answers.filter("link").select("a", "b")).distinct(), "links")
@@ -457,7 +483,7 @@ def connect(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     rest = candidates(_with_component(lists, roots), threshold).join(answers.select("a", "b"), ["a", "b"], "left_anti")
     rest = _not_derived(written(rest, "met"), member, answers.filter("NOT link"), threshold)
     rest = possible_by_prefix(rest, lists, threshold)
-    more = written(compare(written(rest, "pairs"), rows, nodes, k).filter(linked(threshold)).select("a", "b"), "links")
+    more = written(compare(written(rest, "pairs"), rows, nodes, k, bare).filter(linked(threshold)).select("a", "b"), "links")
     if more.take(1):
         roots = components(written(links.unionByName(more), "links"))
     return own, roots
@@ -475,12 +501,17 @@ def _not_derived(pairs: DataFrame, member: DataFrame, apart: DataFrame, threshol
     return out.filter(~ruled_out).select("a", "b")
 
 
-def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and node (the set's digest) of every row."""
+def _placed(docs: DataFrame, key: str, text: str, k: int, threshold: Fraction) -> DataFrame:
+    """doc_id, n_shingles, node and component of every row, and the component's smallest id."""
     own, roots = connect(docs, key, text, k, threshold)
     placed = written(_with_component(own, roots), "placed")
     ids = written(placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "ids")
-    joined = placed.join(ids, "component", "left")
+    return placed.join(ids, "component", "left")
+
+
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id and node (the set's digest) of every row."""
+    joined = _placed(docs, key, text, k, threshold)
     apart = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", apart.alias("component_id"), "node")
 
@@ -488,8 +519,18 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of linked documents, that of the smallest id, with its own columns.
 
-    Documents without words are groups of their own.
+    Documents without words are groups of their own.  Of a group without any id the smallest text of
+    its first node stays.
     """
-    stay = classes_of(docs, key, text).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"))
-    return rows.join(stay, rows["own_id"].eqNullSafe(stay["stay_id"]), "left_semi").select("own_row.*")
+    placed = _placed(docs, key, text, SHINGLE, THRESHOLD)
+    first = placed.filter("doc_id IS NOT NULL AND (n_shingles = 0 OR doc_id = component_id)").select(F.col("doc_id").alias("stay_id")).distinct()
+    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), F.col(text).cast("string").alias("text"))
+    kept = rows.join(first, rows["own_id"] == first["stay_id"], "left_semi").select("own_row")
+    bare = rows.filter("own_id IS NULL")
+    if bare.take(1):
+        bare = written(with_nodes(bare.select("own_row", "text")), "rows-without-id")
+        # A component's name is its smallest node; without links it is the node.
+        lone = placed.filter("n_shingles > 0 AND component_id IS NULL AND node = component").select("node").distinct()
+        chosen = bare.join(lone, "node", "left_semi").groupBy("node").agg(F.min_by("own_row", "text").alias("own_row"))
+        kept = kept.unionByName(bare.filter("node = 0").select("own_row")).unionByName(chosen.select("own_row"))
+    return kept.select("own_row.*")
