@@ -56,12 +56,16 @@ def slices(cases: DataFrame, keys: list[str], predicted: str = "predicted", scam
 
 
 def lower_percentile(df: DataFrame, key: str, value: str, p: float) -> DataFrame:
-    """sorted[floor((n - 1) * p)] of each group: ranks by window, no list of a group's values."""
+    """sorted[floor((n - 1) * p)] of each group: equal values are counted first, then summed up in
+    order by window, so a task holds a group's distinct values and not its rows."""
     from pyspark.sql.window import Window
 
-    by = Window.partitionBy(key)
-    ranked = df.select(key, value, (F.row_number().over(by.orderBy(value)) - 1).alias("at"), F.count("*").over(by).alias("n"))
-    return ranked.filter(F.col("at") == F.floor((F.col("n") - 1) * F.lit(p))).select(key, F.col(value).alias("percentile"), "n")
+    counts = df.groupBy(key, value).agg(F.count("*").alias("here"))
+    by, zero = Window.partitionBy(key), F.lit(0).cast("bigint")
+    upto = F.sum("here").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.select(key, value, "here", upto.alias("upto"), F.coalesce(F.sum("here").over(by), zero).alias("n"))
+    at = F.floor((F.col("n") - 1) * F.lit(p))
+    return ranked.filter((at < F.col("upto")) & (at >= F.col("upto") - F.col("here"))).select(key, F.col(value).alias("percentile"), "n")
 
 
 def flips(now: DataFrame, before: DataFrame, key: str = "id") -> DataFrame:
