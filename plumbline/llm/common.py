@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,44 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Tables:
+    """Tables that a job writes to the shared folder and drops after their last reader."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: list[tuple[DataFrame, str, str | None]] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path, schema = scratch(self.spark, label), df.schema
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(schema).parquet(path)
+        self._paths.append((table, path, None))
+        return table
+
+    def write_bucketed(self, df: DataFrame, label: str, key: str) -> DataFrame:
+        """A table dealt by a key once, so that joins on the key never shuffle it again."""
+        path, buckets = scratch(self.spark, label), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+        table = self.spark.table(name)
+        self._paths.append((table, path, name))
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            for held in [x for x in self._paths if x[0] is table]:
+                self._paths.remove(held)
+                if held[2]:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {held[2]}")
+                delete(self.spark, held[1])
+
+
 def empty_if_null(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -58,12 +97,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, *more: str) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of few text bytes each; a longer text makes a piece of its own."""
     import pyarrow.compute as pc
 
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64) for c in (column, *more)).tolist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if i > start and held + n > limit:

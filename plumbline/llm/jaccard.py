@@ -1,35 +1,39 @@
 """Exact n-gram Jaccard join with skipping by set relations (operator 8).
 
-Documents are sets of word shingles.  Equal sets are one node.  The join finds the links between
-nodes in two rounds that lean on relations between sets:
+Documents are sets of word shingles.  Equal sets are one node, and a node's text stands once in a table
+that is dealt by node, so that no later join moves texts that it does not need.  The join finds the
+links between nodes in two rounds that lean on relations between sets:
 
 1. Leaders.  Nodes that agree in half of eight min-hashes are grouped under leaders taken at random;
-   every member is compared with its leader, which gives exact links and the distance to the leader.
-   Where members stay unlinked, the member nearest to the leader takes over and all are compared with
-   it: copies of one original are nearer to it than to each other, so this finds the original.
-   Groups of near copies, however large, become one component here with two comparisons per member.
+   members that the bitmaps below do not rule out are compared with their leader.  Where members stay
+   unlinked, the member nearest to the leader takes over and all are compared with it: copies of one
+   original are nearer to it than to each other, so this finds the original.  Groups of near
+   copies, however large, become one component here with two comparisons per member.
 
 2. Block-skipping index.  Every node lists its shingles in one global order (rising counts in
    the cells of a counting sketch over all documents) and indexes the first quarter, as prefix filtering
    asks.  Index lists are cut into blocks by set size and by position: two entries of a list can
    only belong to a link when i + j <= (1/t - 1) * min(|x| - i, |y| - j), so entries behind a
-   seventh of their set never meet each other and those blocks are skipped.  Entries also carry a
-   bitmap of their set, each bit the parity of the shingles that fall on it: bitmaps differ in no more
-   bits than their sets do in shingles, so pairs whose bitmaps differ too much don't meet.  And they
-   carry the set's shingles just before their own: where one of them is also just before the other
-   entry, the pair has met in that shingle's list, and this later meeting is skipped.  A list whose nodes are
-   all of one component is skipped as a whole: its answers follow from those computed before.
-   First leaders are compared with leaders, then nodes with one node of each component that sends
-   an envoy to one of their lists; the answers of the others are then derived from them:
-   members of components that have met are done, and pairs whose leaders were found too far apart
-   are dropped by the triangle inequality of the Jaccard distance.  Only what is left is compared.
+   seventh of their set never meet each other and those blocks are skipped.  Lists whose nodes are all
+   of one component are skipped as a whole.  Entries of the lists that are left get a bitmap of their
+   set, each bit the parity of the shingles that fall on it: bitmaps differ in no more bits than their
+   sets do in shingles, so pairs whose bitmaps differ too much don't meet.  And they get the set's
+   entries just before their own in such lists: where one of them is also just before the other entry, the pair
+   has met in that list, and this later meeting is skipped.
+   First leaders are compared with leaders.  Then the answers of the others are derived from a
+   similar set's computed answers: with x = L - A + B and y = M - C + D for leaders L and M whose
+   intersection was counted, |x & y| <= |L & M| + |B| + |D|; where that is too little for a link the pair is
+   done, and members of components that have met are done too.  Only what is left is compared.
 
 Links are exact: an ``intersection`` is counted over whole sets, and no cap or sample is used anywhere.
+Long lists are salted: one side is dealt to parts, the other repeated for them.  Comparisons of a node
+with very many partners are dealt to parts in the same way.
 
 Defined cases: null and word-less texts are empty sets, linked with nothing (component: their own
 id); texts with fewer words than a shingle are one shingle made of all; rows that repeat an id
 with different texts are placed each by its own text; null ids stay null when linked with nothing
-and take the component's smallest id otherwise; an empty table gives no rows.
+and take the component's smallest id otherwise; very long texts are read whole; an empty table gives
+no rows; columns other than the two named may have any name.
 """
 
 from __future__ import annotations
@@ -42,9 +46,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import words as W
-from .common import release, slices, written
+from .common import Tables, release, slices
 
 SHINGLE = 5
 THRESHOLD = Fraction(3, 4)
@@ -58,6 +63,10 @@ BLOCK = 1 << 12
 LANES = 8
 #: Earlier shingles of its set that an index entry carries.
 BEFORE = 3
+#: Parts to which the comparisons of one node are dealt, and entries of a list that meet in one part.
+PARTS, LIST_PART = 128, 1000
+#: Nodes that a task remembers in order not to send a text twice.
+REMEMBERED = 1 << 20
 #: Bytes of text that a task holds as sets at a time.
 SLICE = 4_000_000
 _SEEDS = W.mix(np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -112,33 +121,40 @@ def _bitmaps(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+PROFILE = "doc_id bigint, node bigint, n_shingles bigint, text_hash bigint, first boolean, mins array<bigint>, bits array<bigint>, block int, counts binary"
 
 
-PROFILE = "doc_id bigint, node bigint, n_shingles bigint, mins array<bigint>, bits array<bigint>, block int, counts binary"
-
-
-def profiles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One row for each document, and the task's share of the counting sketch in blocks."""
+def profiles(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
+    """Every row as own_row with its number, node and set size; the first of each node in a task also has
+    min-hashes and a bitmap.  Rows without a number hold the task's share of the counting sketch in blocks."""
+    body = F.col(text).cast("string")
+    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("text_hash"), F.monotonically_increasing_id().alias("row_no"), body.alias("text"))
+    names = ["own_row", "row_no", *(x.split()[0] for x in PROFILE.split(", "))]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
-        names = [x.split()[0] for x in PROFILE.split(", ")]
+        cells, known, own_type = np.zeros(1 << CELL_BITS, np.int64), set(), None
         for batch in slices(batches, "text", SLICE):
+            own_type = batch.schema.field("own_row").type
             values, bounds = shingle_sets(batch.column("text").to_pylist(), k)
             np.add(cells, np.bincount((values >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells.size), out=cells)
-            n = batch.num_rows
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (_min_hashes(values, bounds), _bitmaps(values, bounds))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_set_ids(values, bounds)), pa.array(np.diff(bounds), pa.int64()), *lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            ids, first = _set_ids(values, bounds), []
+            if len(known) > REMEMBERED:
+                known.clear()
+            for i in ids.tolist():
+                first.append(i != 0 and i not in known)
+                known.add(i)
+            n, skipped = batch.num_rows, ~np.array(first, bool)
+            lists = [pa.array([None if no else r for r, no in zip(x.tolist(), skipped)], pa.list_(pa.int64())) for x in (_min_hashes(values, bounds), _bitmaps(values, bounds))]
+            yield pa.RecordBatch.from_arrays([batch.column("own_row"), batch.column("row_no"), batch.column("doc_id"), pa.array(ids), pa.array(np.diff(bounds), pa.int64()), batch.column("text_hash"), pa.array(first), *lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         used = [b for b in range(cells.size // BLOCK) if cells[b * BLOCK : (b + 1) * BLOCK].any()]
         if used:
             m = len(used)
             narrow = "<u2" if cells.max() < 65536 else "<i8"
             blocks = pa.array([cells[b * BLOCK : (b + 1) * BLOCK].astype(narrow).tobytes() for b in used], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.list_(pa.int64()))] * 2, pa.array(used, pa.int32()), blocks], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, own_type), *[pa.nulls(m, pa.int64())] * 5, pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.list_(pa.int64()))] * 2, pa.array(used, pa.int32()), blocks], names)
 
-    return docs.mapInArrow(find, PROFILE)
+    fields = [rows.schema["own_row"], rows.schema["row_no"], *T.StructType.fromDDL(PROFILE)]
+    return rows.mapInArrow(find, T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]))
 
 
 def frequency_classes(found: DataFrame) -> np.ndarray:
@@ -152,77 +168,79 @@ def frequency_classes(found: DataFrame) -> np.ndarray:
                 own = np.frombuffer(raw, "<i8" if len(raw) == 8 * BLOCK else "<u2").astype(np.int64)
                 held[b] = held[b] + own if b in held else own
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([x.astype("<i8").tobytes() for x in held.values()], pa.binary())], ["block", "counts"])
+            packed = [x.astype("<u2" if x.max() < 65536 else "<i8").tobytes() for x in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
 
     blocks = found.filter("block IS NOT NULL").select("block", "counts")
     # Tasks add up their own shares first, so that a block meets one row from each task.
     sums = blocks.mapInArrow(add, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
     cells = np.zeros(1 << CELL_BITS, np.int64)
     for row in sums.collect():  # one row for each block: 1024
-        cells[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], "<i8")
+        raw = row["counts"]
+        cells[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(raw, "<i8" if len(raw) == 8 * BLOCK else "<u2")
     return np.minimum(10 * np.log2(1 + cells), 255).astype(np.uint8)
 
 
-def with_nodes(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The rows with the node of their text, 0 where it has no words."""
+def nodes_of(found: DataFrame, text: str, tables: Tables) -> DataFrame:
+    """node, text, n_shingles, mins and bits of every set that is not empty, dealt by node.
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            ids = _set_ids(*shingle_sets(batch.column("text").to_pylist(), k))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "node"])
-
-    return rows.mapInArrow(find, T.StructType([*rows.schema.fields]).add("node", "long"))
+    Tasks have sent each of their nodes once, so copies of one text, however many, are as many
+    rows as tasks at most; of those one stays.
+    """
+    own = found.filter("first").select("node", "n_shingles", F.col("own_row").getField(text).cast("string").alias("text"), "mins", "bits")
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()  # of one partition
+        for batch in batches:
+            keep = []
+            for i in batch.column("node").to_pylist():
+                keep.append(i not in known)
+                known.add(i)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-def texts_without_id(docs: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame | None:
-    """node and a text of it, for the nodes that have no id by which compare() could fetch one."""
-    bare = nodes.filter("doc_id IS NULL").select("node")
-    if not bare.take(1):
-        return None
-    own = with_nodes(docs.filter("doc_id IS NULL").select("text"), k).join(bare, "node", "left_semi")
-    return written(own.groupBy("node").agg(F.min("text").alias("text")), "texts-without-id")
+    buckets = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tables.write_bucketed(own.repartition(buckets, "node").mapInArrow(once, own.schema), "nodes", "node")
 
 
 # -- comparing ------------------------------------------------------------------------------
-def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int = SHINGLE, bare: DataFrame | None = None) -> DataFrame:
-    """a, b with sizes and the exact intersection of their sets.  Both texts travel to a pair; the
-    text of a leader is repeated only while a task streams over its members.  ``bare`` has the texts
-    of nodes without an id."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    where = nodes.select("node", "doc_id").join(ends, "node", "left_semi")
-    own = docs.join(where, "doc_id").select("node", "text").dropna()
-    if bare is not None:
-        own = own.unionByName(bare.join(ends, "node", "left_semi").select("node", "text"))
-    own = written(own, "texts")
-    first = pairs.join(own.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a")
-    both = first.join(own.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b").select("a", "b", "text_a", "text_b")
+def compare(pairs: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """a, b with sizes and the exact intersection of their sets, for distinct pairs.
+
+    Both texts travel to a pair.  A node's comparisons are dealt to parts, and its text is sent to
+    each part once; it is repeated only while a task streams over the part.
+    """
+    part = lambda other: F.pmod(F.xxhash64(other), F.lit(PARTS)).cast("int")
+    dealt = pairs.select("a", "b", part("b").alias("part_a"), part("a").alias("part_b"))
+
+    def texts(side: str) -> DataFrame:
+        ends = dealt.select(F.col(side).alias("node"), f"part_{side}").distinct()
+        return nodes.select("node", "text").join(ends.hint("shuffle_hash"), "node").select(F.col("node").alias(side), f"part_{side}", F.col("text").alias(f"text_{side}"))
+
+    both = dealt.join(texts("a"), ["a", "part_a"]).join(texts("b"), ["b", "part_b"]).select("a", "b", "text_a", "text_b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, tuple[int, np.ndarray]] = {}
+        kept: dict[str, np.ndarray] = {}
 
-        def sets(texts: list[str]) -> list[tuple[int, np.ndarray]]:
+        def sets(texts: list[str]) -> list[np.ndarray]:
             new = [t for t in dict.fromkeys(texts) if t not in kept]
             values, bounds = shingle_sets(new, k)
-            ids = _set_ids(values, bounds)
-            fresh = {t: (int(ids[i]), values[bounds[i] : bounds[i + 1]]) for i, t in enumerate(new)}
-            out = [fresh.get(t) or kept[t] for t in texts]
+            fresh = {t: values[bounds[i] : bounds[i + 1]] for i, t in enumerate(new)}
+            out = [fresh[t] if t in fresh else kept[t] for t in texts]
             kept.clear()
             kept.update(zip(texts[-1:], out[-1:]))  # a leader goes on into the next batch
             return out
 
-        for batch in slices(batches, "text_a", SLICE):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        for batch in slices(batches, "text_a", SLICE, "text_b"):
+            n = batch.num_rows
             found = sets(batch.column("text_a").to_pylist() + batch.column("text_b").to_pylist())
-            out = []
-            for x, y, (ix, sx), (iy, sy) in zip(a, b, found[: len(a)], found[len(a) :]):
-                if ix == x and iy == y:  # else a row that repeats an id with another text
-                    at = np.searchsorted(sy, sx)
-                    at[at == sy.size] = 0
-                    out.append((x, y, sx.size, sy.size, int((sy[at] == sx).sum())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "size_a", "size_b", "shared"])
+            out = np.zeros((n, 3), np.int64)
+            for i, (sx, sy) in enumerate(zip(found[:n], found[n:])):
+                at = np.searchsorted(sy, sx)
+                at[at == sy.size] = 0
+                out[i] = sx.size, sy.size, (sy[at] == sx).sum()
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c) for c in out.T.copy())], ["a", "b", "size_a", "size_b", "shared"])
 
-    return both.mapInArrow(count, "a bigint, b bigint, size_a bigint, size_b bigint, shared bigint").distinct()
+    return both.mapInArrow(count, "a bigint, b bigint, size_a bigint, size_b bigint, shared bigint")
 
 
 def linked(threshold: Fraction = THRESHOLD) -> Column:
@@ -235,43 +253,43 @@ def distance() -> Column:
 
 
 # -- components -----------------------------------------------------------------------------
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """node, root for every node of some edge: the smallest node that edges reach.
 
     Each round hangs roots that meet on an edge below the smaller one and then halves the paths, so
     rounds grow with the logarithm of a component's width.  Groups are minima, so a node with very
     many edges sends one row from each task.
     """
-    ends = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label)
-    state = written(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), label)
+    ends = tables.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
+    state = tables.write(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "roots")
     while True:
         root = state.select(F.col("node").alias("at"), F.col("root").alias("above"))
         short = state.join(root, state["root"] == root["at"], "left").select("node", F.coalesce("above", "root").alias("root"))
-        short = written(short, label)
+        short = tables.write(short, "short")
         low = short.select(F.col("node").alias("b"), F.col("root").alias("low"))
         seen = ends.join(low, "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
-        met = short.join(seen, "node").select("node", "root", F.least("root", "low").alias("low"))
-        met = written(met, label)
+        met = tables.write(short.join(seen, "node").select("node", "root", F.least("root", "low").alias("low")), "met")
         # The root itself moves below the smallest root that any of its nodes has met.
         hang = met.groupBy("root").agg(F.min("low").alias("down")).filter("down < root").select(F.col("root").alias("top"), "down")
-        hang = written(hang, label)
+        hang = tables.write(hang, "hang")
         after = met.join(hang, met["root"] == hang["top"], "left").select("node", F.least(F.col("low"), F.coalesce("down", "low")).alias("root"))
-        after = written(after, label)
+        after = tables.write(after, "roots")
         changed = after.withColumnRenamed("root", "new").join(state, "node").filter("new <> root").limit(1).count()
+        tables.drop(state, short, met, hang)
         state = after
         if not changed:
+            tables.drop(ends)
             return state
 
 
 # -- index ----------------------------------------------------------------------------------
 BITS = [f"bits_{i}" for i in range(LANES)]
 EARLIER = [f"before_{i}" for i in range(1, BEFORE + 1)]
-ENTRY = ", ".join(["token bigint", "node bigint", "size int", "at int", *(f"{b} bigint" for b in EARLIER)])
+ENTRY = "token bigint, node bigint, size int, at int"
 
 
-def index_entries(docs: DataFrame, classes: np.ndarray, k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The index prefix of every set: token, node, size and position, counted from 0, with the
-    shingles that precede it in the set's order (null before the first)."""
+def index_entries(nodes: DataFrame, classes: np.ndarray, k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The index prefix of every set: token, node, size and position, counted from 0."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -282,17 +300,15 @@ def index_entries(docs: DataFrame, classes: np.ndarray, k: int = SHINGLE, thresh
             at = np.arange(values.size) - bounds[own]
             least = -(-size * threshold.numerator // threshold.denominator)
             in_prefix = at <= (size - least)[own]
-            ordered, place = values[order].view(np.int64), np.nonzero(in_prefix)[0]
-            own, at = own[in_prefix], at[in_prefix]
-            earlier = [pa.array(ordered[np.maximum(place - i, 0)], mask=at < i) for i in range(1, BEFORE + 1)]
-            ids = _set_ids(values, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(ordered[place]), pa.array(ids[own]), pa.array(size[own], pa.int32()), pa.array(at, pa.int32()), *earlier], ["token", "node", "size", "at", *EARLIER])
+            own, at, token = own[in_prefix], at[in_prefix], values[order[in_prefix]].view(np.int64)
+            ids = np.asarray(batch.column("node"))
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids[own]), pa.array(size[own], pa.int32()), pa.array(at, pa.int32())], ["token", "node", "size", "at"])
 
-    return docs.select("text").mapInArrow(find, ENTRY)
+    return nodes.select("node", "text").mapInArrow(find, ENTRY)
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """Entries of the lists that hold two nodes or more, each node once in a list.
+    """Entries of the lists that hold two nodes or more.
 
     Lists come one after another in sorted partitions and are streamed; a task holds one batch and
     the list's first entry, never a list.
@@ -336,19 +352,29 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(only_shared, ENTRY)
 
 
-def candidates(entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """Pairs a < b of different components that meet in blocks of some list which positions allow.
+def open_entries(entries: DataFrame, nodes: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Entries of the lists that several components have, with what tells pairs apart before they meet:
+    the block of the set's size, the parts of a long list, the entries before and the bitmap.
 
-    ``entries`` has token, node, size, at, the shingles before, the lanes of the bitmap and component.
+    ``entries`` has token, node, size, at and component.
     """
+    many = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
+    own = entries.join(many.select("token", F.ceil(F.col("n") / LIST_PART).cast("int").alias("parts")), "token")
+    # A node's entries are a quarter of its own shingles at most.
+    order = Window.partitionBy("node").orderBy("at")
+    own = own.select("*", *(F.lag("token", i + 1).over(order).alias(c) for i, c in enumerate(EARLIER)), F.floor(F.log("size") / np.log(1 / float(threshold))).cast("int").alias("size_block"))
+    return own.join(nodes.select("node", *(F.col("bits")[i].alias(b) for i, b in enumerate(BITS))), "node")
+
+
+def candidates(open_: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Pairs a < b of different components that meet in blocks of some list which positions allow."""
     t = float(threshold)
-    many = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
-    open_ = written(entries.join(written(many, "open"), "token", "left_semi").withColumn("size_block", F.floor(F.log("size") / np.log(1 / t)).cast("int")), "open-lists")
+    sides = ("node", "size", "at", "component", *EARLIER, *BITS)
     # i + j <= (1/t - 1) * min(|x| - i, |y| - j), so one of a pair has (2/t - 1) * i <= (1/t - 1) * |x|.
     front = open_.filter((2 / t - 1) * F.col("at") <= (1 / t - 1) * F.col("size") + 1e-6)
-    x = front.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "at", "component", *EARLIER, *BITS)), F.explode(F.array(*(F.col("size_block") + d for d in (-1, 0, 1)))).alias("size_block"))
-    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "at", "component", *EARLIER, *BITS)), "size_block")
-    met = x.join(y, ["token", "size_block"])
+    x = front.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"x_{c}") for c in sides), F.explode(F.array(*(F.col("size_block") + d for d in (-1, 0, 1)))).alias("size_block"))
+    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in sides), "size_block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = x.join(y, ["token", "size_block", "part"])
     rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     possible = (F.col("x_component") != F.col("y_component")) & (F.col("x_at") + F.col("y_at") <= (1 / t - 1) * rest + 1e-6)
     possible = possible & (F.least("x_size", "y_size") >= t * F.greatest("x_size", "y_size") - 1e-6)
@@ -372,25 +398,12 @@ def most_differing(x_size: str, y_size: str, threshold: Fraction) -> Column:
     return (1 - t) / (1 + t) * (F.col(x_size) + F.col(y_size)) + 1e-6
 
 
-def envoys(entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """a, b: each node and, for each component that it meets through an envoy, the likeliest partner.
-
-    In every list the smallest and the largest component send one node each, taken at random, to
-    which the nodes of other components are held.  Pairs grow with the entries, not with the
-    square of a list; a node that differs from its component's leader but not from most others,
-    as copies of a copy do, is linked here before all that could be linked are met.
-    """
-    size, node = ["node", "size", *BITS], F.struct("component", F.xxhash64("token", "node").alias("chance"), "node", "size", *BITS)
-    ends = entries.groupBy("token").agg(F.min(node).alias("low"), F.max(node).alias("high")).filter("low.component < high.component")
-    met = entries.select("token", "component", *size).join(written(ends, "envoys"), "token")
-    other = met.select("component", *size, F.when(F.col("component") == F.col("low.component"), F.col("high")).otherwise(F.col("low")).alias("other"))
-    differing = differing_bits("{}", "other.{}")
-    near = other.select("node", "other.component", F.struct(differing.alias("bits"), F.col("other.node").alias("partner")).alias("offer"), (differing <= most_differing("size", "other.size", threshold)).alias("possible"))
-    best = near.filter("possible").groupBy("node", "component").agg(F.min("offer").alias("offer"))
-    return best.select(F.least("node", "offer.partner").alias("a"), F.greatest("node", "offer.partner").alias("b")).distinct()
+def prefix_tokens(entries: DataFrame) -> DataFrame:
+    """Of each node the shared entries of its prefix, as one list."""
+    return entries.groupBy("node").agg(F.collect_set("token").alias("tokens"), F.first("size").alias("size"))
 
 
-def possible_by_prefix(pairs: DataFrame, entries: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+def possible_by_prefix(pairs: DataFrame, lists: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Pairs whose index prefixes share as much as those of linked sets must.
 
     Up to the smaller of both last prefix entries all that the sets share is in both prefixes, and at
@@ -398,7 +411,6 @@ def possible_by_prefix(pairs: DataFrame, entries: DataFrame, threshold: Fraction
     several nodes have are looked at.
     """
     num, den = threshold.numerator, threshold.denominator
-    lists = written(entries.groupBy("node").agg(F.collect_set("token").alias("tokens"), F.first("size").alias("size")), "prefixes")
     one = lambda side: lists.select(F.col("node").alias(side), F.col("tokens").alias(f"{side}_tokens"), F.col("size").alias(f"{side}_size"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     overlap = F.ceil((F.col("a_size") + F.col("b_size")) * num / (num + den) - 1e-6)
@@ -408,22 +420,28 @@ def possible_by_prefix(pairs: DataFrame, entries: DataFrame, threshold: Fraction
 
 
 # -- the join -------------------------------------------------------------------------------
-def leaders(nodes: DataFrame) -> DataFrame:
-    """a, b: a node and the leaders to which most of its min-hashes point.
+def leaders(nodes: DataFrame, tables: Tables, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """a, b: a node and the leader to which most of its min-hashes point, unless bitmaps rule out a link.
 
     Nodes that agree in two neighbouring min-hashes are a group, led by its smallest and its largest
     digest, which is to say by members taken at random.
     """
     slots = F.transform(F.sequence(F.lit(0), F.lit(MIN_HASHES - 1)), lambda i: F.xxhash64(i, F.get(F.col("mins"), i), F.get(F.col("mins"), F.pmod(i + 1, F.lit(MIN_HASHES)))))
-    own = written(nodes.select("node", "mins", F.explode(slots).alias("key")), "groupings")
-    row = F.struct("node", "mins")
-    groups = own.groupBy("key").agg(F.min(row).alias("low"), F.max(row).alias("high")).filter(F.col("low.node") != F.col("high.node"))
-    met = own.join(written(groups, "leaders"), "key").select("node", "mins", F.explode(F.array("low", "high")).alias("lead")).filter(F.col("node") != F.col("lead.node"))
-    agree = F.size(F.filter(F.arrays_zip(F.col("mins").alias("own"), F.col("lead.mins").alias("other")), lambda z: z["own"] == z["other"]))
-    proposed = met.select("node", F.struct(agree.alias("agree"), F.col("lead.node").alias("leader")).alias("offer")).filter(F.col("offer.agree") >= AGREEMENT)
-    # A node has at most two offers for each min-hash, so its set of offers is small.
-    offers = proposed.groupBy("node").agg(F.sort_array(F.collect_set("offer"), asc=False).alias("offers"))
-    return offers.select(F.col("node").alias("a"), F.col("offers")[0]["leader"].alias("b"))
+    own = tables.write(nodes.select("node", F.explode(slots).alias("key")), "groupings")
+    groups = own.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    met = own.join(groups, "key").select("node", F.explode(F.array("low", "high")).alias("lead")).filter("node <> lead").distinct()
+    met = tables.write(met, "offers")
+    tables.drop(own)
+    names = ["mins", "n_shingles", *BITS]
+    flat = nodes.select("node", "mins", "n_shingles", *(F.col("bits")[i].alias(b) for i, b in enumerate(BITS)))
+    side = lambda name: flat.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in names))
+    wide = met.join(side("node"), "node").join(side("lead"), "lead")
+    agree = F.size(F.filter(F.arrays_zip(F.col("node_mins").alias("own"), F.col("lead_mins").alias("other")), lambda z: z["own"] == z["other"]))
+    likely = (agree >= AGREEMENT) & (differing_bits("node_{}", "lead_{}") <= most_differing("node_n_shingles", "lead_n_shingles", threshold))
+    best = wide.filter(likely).groupBy("node").agg(F.max(F.struct(agree.alias("agree"), F.col("lead").alias("lead"))).alias("offer"))
+    out = tables.write(best.select(F.col("node").alias("a"), F.col("offer.lead").alias("b")), "proposals")
+    tables.drop(met)
+    return out
 
 
 def hubs(led: DataFrame) -> DataFrame:
@@ -438,99 +456,117 @@ def _with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(own, rows["node"] == own["known"], "left").select(*rows.columns, F.coalesce("root", "node").alias("component"))
 
 
-def connect(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The documents' profiles, and node, root for the nodes that have links."""
-    rows = _texts(docs, key, text)
-    found = written(profiles(rows, k), "profiles")
-    classes = frequency_classes(found)
-    own = found.filter("block IS NULL").drop("block", "counts")
-    nodes = own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("mins").alias("mins"), F.min("bits").alias("bits"))
-    nodes = written(nodes, "nodes")
-    bare = texts_without_id(rows, nodes, k)
-
-    release(docs.sparkSession)
-    told = lambda pairs: compare(pairs, rows, nodes, k, bare).select("a", "b", distance().alias("distance"), linked(threshold).alias("link"))
-    led = written(told(written(leaders(nodes), "proposals")), "led")
-    taken_over = led.join(written(hubs(led), "hubs"), "b", "left")
-    again = told(written(taken_over.filter("a <> hub").select("a", F.col("hub").alias("b")), "proposals"))
+ANSWER = ["a", "b", "size_a", "size_b", "shared", "distance", "link"]
+
+
+def _led(nodes: DataFrame, tables: Tables, k: int, threshold: Fraction) -> DataFrame:
+    """The answers of all nodes about their leaders: a, b and what was counted; a hub leads where it took over."""
+    told = lambda pairs: compare(pairs, nodes, k).withColumn("distance", distance()).withColumn("link", linked(threshold))
+    proposals = leaders(nodes, tables, threshold)
+    first = tables.write(told(proposals), "led")
+    over = tables.write(first.join(hubs(first), "b", "left"), "taken-over")
+    asked = tables.write(over.filter("a <> hub").select("a", F.col("hub").alias("b")).distinct(), "proposals")
+    again = told(asked)
     # A leader becomes a member of the hub that takes over.
     is_hub = F.coalesce(F.col("a") == F.col("hub"), F.lit(False))
-    led = taken_over.select(F.when(is_hub, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(is_hub, F.col("a")).otherwise(F.col("b")).alias("b"), "distance", "link")
-    led = written(led.unionByName(again), "led")
-    links = led.filter("link").select("a", "b")
-    roots = components(links)
-
-    bitmaps = nodes.select("node", *(F.col("bits")[i].alias(b) for i, b in enumerate(BITS)))
-    lists = written(shared_entries(index_entries(rows, classes, k, threshold)).join(bitmaps, "node").select("token", "node", "size", "at", *EARLIER, *BITS), "index")
-    release(docs.sparkSession)
-    # Members hang below the nearest leader they are linked with; all others stand for themselves.
-    nearest = led.filter("link").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("lead"))
-    member = written(nearest.select(F.col("a").alias("member"), F.col("lead.b").alias("leader"), F.col("lead.distance").alias("distance")), "members")
-    top = written(_with_component(lists, roots).join(member.select("member"), F.col("node") == F.col("member"), "left_anti"), "leader-lists")
-    pairs = possible_by_prefix(written(candidates(top, threshold), "met"), lists, threshold)
-    answers = written(compare(written(pairs, "pairs"), rows, nodes, k, bare).withColumn("distance", distance()).withColumn("link", linked(threshold)), "answers")
-    release(docs.sparkSession)
-    links = written(links.unionByName(answers.filter("link").select("a", "b")), "links")
-    roots = components(links)
-
-    sent = envoys(_with_component(lists, roots), threshold).join(answers.select("a", "b"), ["a", "b"], "left_anti")
-    told_more = compare(written(sent, "pairs"), rows, nodes, k, bare).withColumn("distance", distance()).withColumn("link", linked(threshold))
-    answers = written(answers.unionByName(told_more), "answers")
-    release(docs.sparkSession)
-    links = written(links.unionByName(answers.filter("link").select("a", "b")).distinct(), "links")
-    roots = components(links)
-
-    rest = candidates(_with_component(lists, roots), threshold).join(answers.select("a", "b"), ["a", "b"], "left_anti")
-    rest = _not_derived(written(rest, "met"), member, answers.filter("NOT link"), threshold)
-    rest = possible_by_prefix(rest, lists, threshold)
-    more = written(compare(written(rest, "pairs"), rows, nodes, k, bare).filter(linked(threshold)).select("a", "b"), "links")
-    if more.take(1):
-        roots = components(written(links.unionByName(more), "links"))
-    return own, roots
+    swap = lambda x, y: F.when(is_hub, F.col(y)).otherwise(F.col(x)).alias(x)
+    turned = over.select(swap("a", "b"), swap("b", "a"), swap("size_a", "size_b"), swap("size_b", "size_a"), "shared", "distance", "link")
+    out = tables.write(turned.unionByName(again.select(ANSWER)), "led")
+    tables.drop(proposals, first, over, asked)
+    return out
 
 
-def _not_derived(pairs: DataFrame, member: DataFrame, apart: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs that the distance of their leaders does not already rule out."""
-    lead = lambda side: member.select(F.col("member").alias(f"{side}_member"), F.col("leader").alias(f"{side}_leader"), F.col("distance").alias(f"{side}_distance"))
+def connect(found: DataFrame, text: str, tables: Tables, k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """node, root for the nodes that have links, from the rows' profiles."""
+    spark = found.sparkSession
+    classes = frequency_classes(found)
+    nodes = nodes_of(found, text, tables)
+    release(spark)
+    led = _led(nodes, tables, k, threshold)
+    links = tables.write(led.filter("link").select("a", "b"), "links")
+    roots = components(links, tables)
+    # Members hang below the nearest leader they are linked with; all others stand for themselves.
+    nearest = led.filter("link").groupBy("a").agg(F.min(F.struct("distance", "b", (F.col("size_a") - F.col("shared")).alias("own"))).alias("lead"))
+    member = tables.write(nearest.select(F.col("a").alias("member"), F.col("lead.b").alias("leader"), F.col("lead.own").alias("own")), "members")
+    tables.drop(led)
+    release(spark)
+
+    lists = tables.write(shared_entries(index_entries(nodes, classes, k, threshold)), "index")
+    release(spark)
+    prefixes = tables.write(prefix_tokens(lists), "prefixes")
+    top = tables.write(open_entries(_with_component(lists.join(member.select("member"), F.col("node") == F.col("member"), "left_anti"), roots), nodes, threshold), "leader-lists")
+    met = tables.write(candidates(top, threshold), "met")
+    pairs = tables.write(possible_by_prefix(met, prefixes, threshold), "pairs")
+    tables.drop(top, met)
+    answers = tables.write(compare(pairs, nodes, k).withColumn("link", linked(threshold)), "answers")
+    tables.drop(pairs)
+    release(spark)
+    more = tables.write(links.unionByName(answers.filter("link").select("a", "b")), "links")
+    tables.drop(links, roots)
+    links, roots = more, components(more, tables)
+
+    rest = tables.write(open_entries(_with_component(lists, roots), nodes, threshold), "open-lists")
+    tables.drop(lists)
+    met = tables.write(candidates(rest, threshold).join(answers.select("a", "b"), ["a", "b"], "left_anti"), "met")
+    tables.drop(rest)
+    pairs = possible_by_prefix(_not_derived(met, member, answers, prefixes, threshold), prefixes, threshold)
+    pairs = tables.write(pairs, "pairs")
+    tables.drop(met, prefixes, member, answers)
+    more = tables.write(compare(pairs, nodes, k).filter(linked(threshold)).select("a", "b"), "links")
+    tables.drop(pairs, nodes)
+    if more.take(1):
+        every = tables.write(links.unionByName(more), "links")
+        tables.drop(roots)
+        roots = components(every, tables)
+        tables.drop(every)
+    tables.drop(more, links)
+    release(spark)
+    return roots
+
+
+def _not_derived(pairs: DataFrame, member: DataFrame, answers: DataFrame, sizes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs that the answer of their leaders does not already rule out: of what a and b share, all but
+    the shingles that they have and their leaders don't is shared by the leaders too."""
+    num, den = threshold.numerator, threshold.denominator
+    lead = lambda side: member.select(F.col("member").alias(f"{side}_member"), F.col("leader").alias(f"{side}_leader"), F.col("own").alias(f"{side}_own"))
     wide = pairs.join(lead("a"), F.col("a") == F.col("a_member"), "left").join(lead("b"), F.col("b") == F.col("b_member"), "left")
-    wide = wide.select("a", "b", F.coalesce("a_leader", "a").alias("la"), F.coalesce("b_leader", "b").alias("lb"), (F.coalesce("a_distance", F.lit(0.0)) + F.coalesce("b_distance", F.lit(0.0))).alias("slack"))
-    wide = wide.select("a", "b", F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high"), "slack")
-    far = apart.select(F.col("a").alias("low"), F.col("b").alias("high"), F.col("distance").alias("between"))
-    out = wide.join(far, ["low", "high"], "left")
-    ruled_out = F.coalesce("between", F.lit(0.0)) - F.col("slack") > 1 - float(threshold) + 1e-9
+    wide = wide.select("a", "b", F.coalesce("a_leader", "a").alias("la"), F.coalesce("b_leader", "b").alias("lb"), (F.coalesce("a_own", F.lit(0)) + F.coalesce("b_own", F.lit(0))).alias("own"))
+    wide = wide.select("a", "b", F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high"), "own")
+    told = answers.select(F.col("a").alias("low"), F.col("b").alias("high"), "shared")
+    size = lambda side: sizes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"))
+    out = wide.join(told, ["low", "high"], "left").join(size("a"), "a").join(size("b"), "b")
+    most = F.col("shared") + F.col("own")
+    ruled_out = F.coalesce((num + den) * most < num * (F.col("a_size") + F.col("b_size")), F.lit(False))
     return out.filter(~ruled_out).select("a", "b")
 
 
-def _placed(docs: DataFrame, key: str, text: str, k: int, threshold: Fraction) -> DataFrame:
-    """doc_id, n_shingles, node and component of every row, and the component's smallest id."""
-    own, roots = connect(docs, key, text, k, threshold)
-    placed = written(_with_component(own, roots), "placed")
-    ids = written(placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "ids")
-    return placed.join(ids, "component", "left")
+def _placed(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows' numbers, ids, set sizes, nodes and components."""
+    own = found.filter("row_no IS NOT NULL").select("row_no", "doc_id", "n_shingles", "node", "text_hash")
+    return _with_component(own, roots)
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and node (the set's digest) of every row."""
-    joined = _placed(docs, key, text, k, threshold)
+    tables = Tables(docs.sparkSession)
+    found = tables.write(profiles(docs.select(key, text), key, text, k), "profiles")
+    roots = connect(found, text, tables, k, threshold)
+    placed = tables.write(_placed(found, roots), "placed")
+    tables.drop(found, roots)
+    ids = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     apart = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", apart.alias("component_id"), "node")
+    return placed.join(ids, "component", "left").select("doc_id", "n_shingles", apart.alias("component_id"), "node")
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of linked documents, that of the smallest id, with its own columns.
-
-    Documents without words are groups of their own.  Of a group without any id the smallest text of
-    its first node stays.
-    """
-    placed = _placed(docs, key, text, SHINGLE, THRESHOLD)
-    first = placed.filter("doc_id IS NOT NULL AND (n_shingles = 0 OR doc_id = component_id)").select(F.col("doc_id").alias("stay_id")).distinct()
-    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), F.col(text).cast("string").alias("text"))
-    kept = rows.join(first, rows["own_id"] == first["stay_id"], "left_semi").select("own_row")
-    bare = rows.filter("own_id IS NULL")
-    if bare.take(1):
-        bare = written(with_nodes(bare.select("own_row", "text")), "rows-without-id")
-        # A component's name is its smallest node; without links it is the node.
-        lone = placed.filter("n_shingles > 0 AND component_id IS NULL AND node = component").select("node").distinct()
-        chosen = bare.join(lone, "node", "left_semi").groupBy("node").agg(F.min_by("own_row", "text").alias("own_row"))
-        kept = kept.unionByName(bare.filter("node = 0").select("own_row")).unionByName(chosen.select("own_row"))
-    return kept.select("own_row.*")
+    """One row of each group of linked documents, with its own columns: that of the smallest id, null
+    ids last; of rows that repeat this id one stays.  Documents without words are groups of their own."""
+    tables = Tables(docs.sparkSession)
+    found = tables.write(profiles(docs, key, text), "profiles")
+    roots = connect(found, text, tables)
+    placed = _placed(found, roots)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "row_no")
+    first = placed.filter("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first")).select("first.row_no")
+    stay = tables.write(placed.filter("n_shingles = 0").select("row_no").unionByName(first), "stay")
+    tables.drop(roots)
+    return found.filter("row_no IS NOT NULL").join(stay, "row_no", "left_semi").select("own_row.*")
