@@ -10,7 +10,10 @@ Every task encodes its own rows: words are told apart by a 64-bit hash together
 and both ends, each distinct word of an Arrow batch is merged once, and nothing is shuffled.
 
 Defined cases: null text counts as empty; an empty text has no ids; whole texts are read however
-long; strings that spell a special token become its id, as the tokenizers library does by default.
+long; strings that spell a special token, whatever it looks like, become its id, as the tokenizers library does by default;
+repeated rows are encoded each; an empty table gives no rows; columns other than the two named may have any
+name; ids of any vocabulary size are held; a vocabulary file that asks for what this encoder does
+not know is refused with an error.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,7 @@ SPACE, LETTER, NUMBER, OTHER, UNSEEN = 0, 1, 2, 3, 255
 NO_RANK = np.int32(2**31 - 1)
 #: Below this code point texts are already composed and lower-casing has no context.
 PLAIN = 0x250
+FREE, SPREAD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -54,7 +59,14 @@ class Encoder:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk") if spec["model"].get(k)]
+        odd += [k for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+        odd += [t["content"] for t in spec["added_tokens"] if t.get("normalized") and not t.get("special")]
+        if odd:
+            raise ValueError(f"this encoder does not know what the vocabulary file asks for: {sorted(set(odd))}")
+        special = {t["content"]: self.library.token_to_id(t["content"]) for t in spec["added_tokens"]}
+        longest_first = sorted(special, key=len, reverse=True)
+        self.spelled = re.compile("|".join(map(re.escape, longest_first))) if special else None
         self.special = special
         self.surface = [""] * (max([*vocab.values(), *special.values()]) + 1)
         for token, i in [*vocab.items(), *special.items()]:
@@ -74,29 +86,35 @@ class Encoder:
 
     # -- pair ranks -------------------------------------------------------------------------
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> None:
-        bits = 19
-        self.shift = np.uint32(32 - bits)
-        self.slots = np.full((1 << bits) + 64, 0xFFFFFFFF, np.uint32)
+        """An open-addressed table from pairs, as 64-bit keys, to ranks."""
+        bits = max(12, (8 * left.size).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.full((1 << bits) + 64, FREE, np.uint64)
         self.slot_rank = np.full((1 << bits) + 64, NO_RANK, np.int32)
-        for rank, key in enumerate(((left << 16) | right).astype(np.uint32)):
-            at = int((int(key) * 2654435761 & 0xFFFFFFFF) >> int(self.shift))
-            while self.slots[at] != 0xFFFFFFFF and self.slots[at] != key:
+        keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        for rank, (key, at) in enumerate(zip(keys.tolist(), ((keys * SPREAD) >> self.shift).tolist())):
+            while self.slots[at] != FREE and self.slots[at] != key:
                 at += 1
+                if at == self.slots.size:
+                    self.slots = np.append(self.slots, np.full(64, FREE, np.uint64))
+                    self.slot_rank = np.append(self.slot_rank, np.full(64, NO_RANK, np.int32))
             if self.slots[at] != key:
                 self.slots[at], self.slot_rank[at] = key, rank
+        # A free slot ends every search.
+        self.slots, self.slot_rank = np.append(self.slots, FREE), np.append(self.slot_rank, NO_RANK)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left.astype(np.uint32) << np.uint32(16)) | right.astype(np.uint32)
-        at = ((key * np.uint32(2654435761)) >> self.shift).astype(np.int64)
+        key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        at = ((key * SPREAD) >> self.shift).astype(np.int64)
         found = self.slots[at]
         out = np.where(found == key, self.slot_rank[at], NO_RANK)
-        more = np.nonzero((found != key) & (found != np.uint32(0xFFFFFFFF)))
+        more = np.nonzero((found != key) & (found != FREE))
         while more[0].size:
             at[more] += 1
             found = self.slots[at[more]]
             hit = found == key[more]
             out[tuple(x[hit] for x in more)] = self.slot_rank[at[more]][hit]
-            go = ~hit & (found != np.uint32(0xFFFFFFFF))
+            go = ~hit & (found != FREE)
             more = tuple(x[go] for x in more)
         return out
 
@@ -252,14 +270,16 @@ class Encoder:
         spelled: list[tuple[int, list[int]]] = []
         for i, t in enumerate(texts):
             t = t or ""
-            if "<|" in t and any(s in t for s in self.special):
-                parts, layout = [t], []
-                for s in self.special:
-                    parts = [y for x in parts for y in (_between(x, s) if x not in self.special else [x])]
-                for x in parts:
-                    layout.append(-1 - self.special[x] if x in self.special else len(flat))
-                    if x not in self.special:
-                        flat.append(self.normal(x))
+            marks = list(self.spelled.finditer(t)) if self.spelled else ()
+            if marks:
+                layout, at = [], 0
+                for m in [*marks, None]:
+                    if piece := t[at : m.start() if m else len(t)]:
+                        layout.append(len(flat))
+                        flat.append(self.normal(piece))
+                    if m:
+                        layout.append(-1 - self.special[m.group()])
+                        at = m.end()
                 spelled.append((i, layout))
             else:
                 flat.append(self.normal(t))
@@ -414,14 +434,6 @@ class Words:
         return out, bounds
 
 
-def _between(text: str, mark: str) -> list[str]:
-    """The text around a special token's spellings, with those in between; no empty pieces."""
-    out: list[str] = []
-    for k, piece in enumerate(text.split(mark)):
-        out += [mark] * (k > 0) + [piece] * (piece != "")
-    return out
-
-
 def _told_apart(buf, starts, sizes, codes, first):
     """Hash classes whose members differ in length or in either end are split by their bytes."""
     if not codes.size:

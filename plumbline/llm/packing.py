@@ -7,7 +7,8 @@ window is shorter, so padding is below one window in all.  The ids are written o
 shuffled.
 
 Defined cases: null text counts as empty and yields the end id alone; repeated rows are packed
-each; an empty table gives no rows; a document may span any number of windows.
+each; an empty table gives no rows; a document may span any number of windows; columns other than the two
+named may have any name.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_token
 
 
 def encoded(docs: DataFrame, end_id: int, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """Each document's ids with the end id, as little-endian 16-bit numbers; task and tokens before it there."""
+    """Each document's ids with the end id, as little-endian numbers of 16 bits where all ids of the vocabulary
+    fit, else of 32; task and tokens before it there."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number, held = bpe.load(vocabulary), task_number(), 0
         for batch in slices(batches, "text", SLICE_BYTES):
             ids, bounds = encoder.encode(batch.column("text").to_pylist())
-            rows = [np.append(ids[a:b], np.uint16(end_id)).astype("<u2").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            kind = "<u2" if max(len(encoder.surface) - 1, end_id) < 1 << 16 else "<u4"
+            rows = [np.append(ids[a:b], end_id).astype(kind).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             sizes = np.diff(bounds) + 1
             before = held + np.cumsum(sizes) - sizes
             held += int(sizes.sum())
@@ -57,7 +60,7 @@ def cut(tokens: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for doc, n, at, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "at", "ids"))):
-                ids, start = np.frombuffer(raw, "<u2"), 0
+                ids, start = np.frombuffer(raw, f"<u{len(raw) // n}"), 0
                 while start < n:
                     size = min(n - start, window - (at + start) % window)
                     piece = ids[start : start + size].astype("<u4").tobytes()
