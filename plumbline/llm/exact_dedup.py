@@ -11,7 +11,8 @@ ever share a digest, those rows are grouped by their bytes instead.
 
 Defined cases: null text counts as empty; texts are equal when identical after lower-casing A-Z;
 the largest id stays, null ids being the smallest, and of rows that repeat an id one stays; an
-empty table gives no rows.
+empty table gives no rows; texts of any length are read whole; columns other than the two named may have any
+name.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def seen(rows: DataFrame, checkpoint: str, files_per_trigger: int = 1000) -> DataFrame:
+def seen(rows: DataFrame, checkpoint: str) -> DataFrame:
     """Runs the stream over what is new in a folder of (digest, doc_id, row_no, locator) and returns
     the whole state: digest, keep_id, keep_row, keep_locator, group_size."""
     spark = rows.sparkSession
@@ -84,7 +85,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), digest(body).alias("digest"), sha256(body).alias("text_sha256"), F.monotonically_increasing_id().alias("row_no"), F.input_file_name().alias("locator"))
     narrow.write.parquet(folder)
     stream = spark.readStream.schema(narrow.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    state = seen(stream, checkpoint, files_per_trigger)
+    state = seen(stream, checkpoint)
     rows = spark.read.schema(narrow.schema).parquet(folder)
     out = rows.join(state, "digest").select("doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), "text_sha256", "digest")
     shared = _shared_digests(texts, state.filter("group_size > 1").select("digest"))
@@ -102,8 +103,17 @@ def _by_bytes(texts: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their own columns; one for each distinct text."""
-    found = deduplicate(docs, key, text).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
-    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), sha256(lower_ascii(empty_if_null(text))).alias("own_sha"))
-    joined = rows.join(found, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_sha") == F.col("stay_sha")), "left_semi")
-    return joined.dropDuplicates(["own_id", "own_sha"]).select("own_row.*")
+    """The rows that stay, with all their own columns; one for each distinct text.
+
+    Of rows that repeat the id and the normalised text that stay, the one with the smallest text as it was
+    written stays; where those are equal too, any one of them.
+    """
+    name = lambda id_, sha: F.xxhash64(F.coalesce(id_.cast("string"), F.lit("")), sha)
+    found = deduplicate(docs, key, text).filter("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("own_name"), F.col("text_sha256").alias("own_sha"), F.col("doc_id").alias("stay_id"))
+    raw = F.col(text).cast("string")
+    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), raw.alias("own_text"), sha256(lower_ascii(empty_if_null(raw))).alias("own_sha"))
+    rows = rows.withColumn("own_name", name(F.col("own_id"), F.col("own_sha")))
+    # Both the join and the grouping deal by name and digest, so whole rows are moved once.
+    same = (rows["own_name"] == found["own_name"]) & (rows["own_sha"] == found["own_sha"]) & rows["own_id"].eqNullSafe(found["stay_id"])
+    joined = rows.join(found, same, "left_semi")
+    return joined.groupBy("own_name", "own_sha").agg(F.min_by("own_row", F.coalesce("own_text", F.lit(""))).alias("own_row")).select("own_row.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality import STOP_WORDS
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array({}, '[ \\t-\\r]+'), lambda x: x <> '')"
 
@@ -28,4 +30,37 @@ e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(doc_id, seen) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.seen FROM r JOIN e ON r.doc_id = e.a AND r.seen < e.b)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(s.s)"""
 
-SQL = {"op1_exact_dedup": OP1, "op4_substring_dedup": OP4, "op8_jaccard": OP8}
+#: CRC-32 by bytes and jump consistent hashing in 64-bit arithmetic, step by step.
+OP2 = """WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT n, doc_id, CAST(length(h) // 2 + 8 AS BIGINT) AS size, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM d),
+c AS (SELECT n, doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32 FROM b, crc_table),
+k0 AS (SELECT DISTINCT doc_id, CAST((CAST(coalesce(doc_id, -9223372036854775808) AS HUGEINT) + 18446744073709551616 + 11400714819323198485) % 18446744073709551616 AS UBIGINT) AS x FROM c),
+k1 AS (SELECT doc_id, CAST(CAST(xor(x, x >> 30) AS UHUGEINT) * CAST(13787848793156543929 AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) AS x FROM k0),
+k2 AS (SELECT doc_id, CAST(CAST(xor(x, x >> 27) AS UHUGEINT) * CAST(10723151780598845931 AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) AS x FROM k1),
+j(doc_id, shards, state, here, ahead) AS (
+ SELECT doc_id, shards, xor(x, x >> 31), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM k2, (VALUES (24), (25)) s(shards)
+ UNION ALL
+ SELECT doc_id, shards, st, ahead, CAST(floor((ahead + 1) * (2147483648.0::DOUBLE / CAST((st >> 33) + 1 AS DOUBLE))) AS BIGINT)
+ FROM (SELECT doc_id, shards, ahead, CAST((CAST(state AS UHUGEINT) * CAST(2862933555777941757 AS UHUGEINT) + CAST(1 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) AS st FROM j WHERE ahead < shards)),
+p AS (SELECT doc_id, max(here) FILTER (shards = 24) AS shard, max(here) FILTER (shards = 25) AS grown_shard FROM j GROUP BY doc_id)
+SELECT c.doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+ row_number() OVER (PARTITION BY shard ORDER BY c.doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM c JOIN p ON c.doc_id IS NOT DISTINCT FROM p.doc_id"""
+
+_LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)
+OP6 = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, {_WORDS.format("t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS l FROM t),
+g AS (SELECT r, unnest(list_transform(range(1, len(w) - 6), lambda p: {{'p': p, 's': array_to_string(w[p:p + 7], ' ')}})) AS g FROM w WHERE len(w) >= 8),
+h AS (SELECT r, g.p AS p, count(*) OVER (PARTITION BY r, g.s) AS n FROM g),
+q AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS i FROM h WHERE n > 1) GROUP BY r),
+c AS (SELECT w.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+ CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(q.n, 0) AS BIGINT) AS n_repeat_words,
+ len(l) AS n_lines, len(list_filter(w, lambda x: lower(x) IN ({_LIST}))) AS n_stop, len(list_filter(w, lambda x: ends_with(x, '!!'))) AS n_marks
+ FROM w LEFT JOIN q USING (r)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT (base_failed OR 100 * word_chars < 200 * n_words OR 100 * word_chars > 1200 * n_words OR 100 * n_symbols > 40 * n_words OR 100 * n_dup_lines > 40 * n_lines
+ OR 100 * n_stop < n_words OR 100 * n_marks > 40 * n_words) AS kept FROM v"""
+
+SQL = {"op2_sharding": OP2, "op6_quality": OP6, "op1_exact_dedup": OP1, "op4_substring_dedup": OP4, "op8_jaccard": OP8}

@@ -8,7 +8,7 @@ an eight-word window that occurs twice or more in the text; windows are told apa
 hash over the hashes of their words.
 
 Defined cases: null text has no words and fails; empty texts fail; repeated rows get a verdict each;
-an empty table gives no rows; a text of any length is read whole.
+an empty table gives no rows; a text of any length is read whole; input columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,12 +21,18 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Frequent function words of the four languages; fixed values.
+#: Frequent function words of ten languages; fixed values.
 STOP_WORDS = (
     "the of and to in is that it for was on with as be by at this from are or an "
     "le la les de des et en un une que qui est pour dans du au avec sur "
     "der die das und zu den von im ist mit ein eine auf dem nicht als für "
-    "el los las del y es por con para una se no lo"
+    "el los las del y es por con para una se no lo "
+    "il di che è non per sono gli della "
+    "o os um uma não com mais dos ao "
+    "het een van dat niet zijn voor met "
+    "och att det som på är inte av "
+    "w i na nie z się jest że do "
+    "и в не на что с по как это"
 ).split()
 
 
@@ -76,10 +82,11 @@ def _from(column: str, start: int) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input's rows with the counts that rules refer to."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """own_row (the input's row) with the counts that rules refer to."""
+    t = F.coalesce(F.col("own_text"), F.lit(""))
     c = _counts(t)
-    df = docs.withColumns({"q_words": _once(c["words"]), "q_lines": _once(c["lines"])})
+    df = docs.select(F.struct("*").alias("own_row"), F.col(text).cast("string").alias("own_text"))
+    df = df.withColumns({"q_words": _once(c["words"]), "q_lines": _once(c["lines"])})
     df = df.withColumns({
         "n_words": F.size("q_words").cast("bigint"),
         "word_chars": F.length(_without(t, BLANKS)).cast("bigint"),
@@ -102,7 +109,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("q_places", _once(F.sort_array(F.transform(F.filter("q_again", lambda x, k: near(x, k - 1) | near(x, k + 1)), lambda x: x["i"]))))
     gaps = F.zip_with("q_places", _from("q_places", 1), lambda p, q: F.least(F.lit(WINDOW), F.coalesce(q - p, F.lit(WINDOW))))
     repeated = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda total, x: total + x)
-    return df.withColumn("n_repeat_words", _once(F.coalesce(repeated, F.lit(0)).cast("bigint"))).drop("q_words", "q_lines", "q_hash", "q_again", "q_places")
+    return df.withColumn("n_repeat_words", _once(F.coalesce(repeated, F.lit(0)).cast("bigint"))).drop("own_text", "q_words", "q_lines", "q_hash", "q_again", "q_places")
 
 
 def fails(rules: tuple[Rule, ...]) -> Column:
@@ -117,13 +124,21 @@ def fails(rules: tuple[Rule, ...]) -> Column:
     return out
 
 
-def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The input's rows with counts, base_failed and kept."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_double_marks", "n_repeat_words")
+
+
+def _judged(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     df = measured(docs, text)
     return df.withColumn("base_failed", fails(BASE_RULES)).withColumn("kept", ~(F.col("base_failed") | fails(rules)))
 
 
+def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The input's rows with counts, base_failed and kept; these take the place of input columns of the same name."""
+    found = (*COUNTS, "base_failed", "kept")
+    own = [F.col("own_row").getField(c).alias(c) for c in docs.columns if c not in found]
+    return _judged(docs, text, rules).select(*own, *found)
+
+
 def kept_rows(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with their own columns only, whatever those are called."""
-    rows = docs.select(F.struct("*").alias("own_row"), F.col(text).alias("own_text"))
-    return judged(rows, "own_text", rules).filter("kept").select("own_row.*")
+    return _judged(docs, text, rules).filter("kept").select("own_row.*")

@@ -4,7 +4,8 @@ A row's stable key and the number of shards decide its shard; there is no ring t
 is appended, only the rows that move into it move: about one in (shards + 1).
 
 Defined cases: a null key is hashed as a value of its own; repeated keys share a shard; null texts
-have no bytes; an empty table gives no rows; only the key and text columns are read.
+have no bytes; texts of any length are sized whole; an empty table gives no rows; only the key and text
+columns are read, whatever the others are called.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ all documents sends one row from each task and no pairs are formed.
 Windows that touch or overlap are joined to maximal repeats.
 
 Defined cases: null text has no words; a null id counts as the smallest; rows that repeat an id are
-not earlier than each other; texts under ``length`` words lose nothing; an empty table gives no rows;
+not earlier than each other; texts under ``length`` words lose nothing; very long texts are read whole; an empty table gives no rows;
 columns other than the two named are not read, whatever they are called.
 """
 
