@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  Between stages
 rows are written as Parquet in the cluster's shared folder and read again, so a lost executor costs
-one stage's tasks at most.
+one stage's tasks at most; they are deleted when their last reader is done.
+
+Defined cases, stage by stage as its operator defines them: null, empty and word-less texts fail the quality
+rules and go; of equal texts the largest id stays, null ids being the smallest; of near copies the smallest
+id, null ids last; ties leave one row; texts of any length are read whole; an empty table packs into no
+rows; extra columns are kept up to the last stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import exact_dedup, jaccard, packing, pii, quality
-from plumbline.llm.common import written
+from plumbline.llm.common import Tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, tables.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        tables.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
