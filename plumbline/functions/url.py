@@ -34,8 +34,9 @@ def suffixes(h: Column) -> Column:
 
 
 def registrable(h: Column) -> Column:
-    """The domain one label below the public suffix; empty for a suffix itself."""
-    long_suffix = last_labels(h, 2).isin(*lexicon.LONG_SUFFIXES)
+    """The domain one label below the public suffix by rules of two labels; empty for a suffix itself.
+    ``query_urls.domains`` joins the whole rule table instead, wildcards and exceptions included."""
+    long_suffix = last_labels(h, 2).isin(*(r for r in lexicon.SUFFIX_RULES if r.count(".") == 1 and r[0] not in "*!"))
     n = F.size(labels(h))
     return F.when(long_suffix & (n >= 3), last_labels(h, 3)).when(~long_suffix & (n >= 2), last_labels(h, 2)).otherwise("")
 
@@ -63,11 +64,18 @@ def under_any(h: Column, domains: tuple[str, ...]) -> Column:
     return F.arrays_overlap(suffixes(h), F.array(*map(F.lit, domains)))
 
 
-NEIGHBOURS = {
-    "q": "wa", "w": "qes", "e": "wrd", "r": "etf", "t": "ryg", "y": "tuh", "u": "yij", "i": "uok", "o": "ipl", "p": "o",
-    "a": "qsz", "s": "awdx", "d": "sefc", "f": "drgv", "g": "fthb", "h": "gyjn", "j": "hukm", "k": "jil", "l": "ko",
-    "z": "ax", "x": "zsc", "c": "xdv", "v": "cfb", "b": "vgn", "n": "bhm", "m": "nj",
-}  # neighbouring keys of a QWERTY keyboard; fixed values
+#: Rows of a QWERTY keyboard and how far each is set off to the right, in keys.
+KEY_ROWS = (("qwertyuiop", 0.0), ("asdfghjkl", 0.25), ("zxcvbnm", 0.75))
+
+
+def _neighbours() -> dict[str, str]:
+    """Keys that touch: next to each other in a row, or less than a key apart in rows one above the other."""
+    at = {c: (row, i + off) for row, (keys, off) in enumerate(KEY_ROWS) for i, c in enumerate(keys)}
+    touch = lambda a, b: (a[0] == b[0] and abs(a[1] - b[1]) == 1) or (abs(a[0] - b[0]) == 1 and abs(a[1] - b[1]) < 1)
+    return {c: "".join(d for d in at if d != c and touch(at[c], at[d])) for c in at}
+
+
+NEIGHBOURS = _neighbours()
 
 
 def typos(brand: str) -> list[str]:

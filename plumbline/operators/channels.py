@@ -1,74 +1,13 @@
-"""The rule sets of the channels: links, messages, e-mails and phone numbers."""
+"""The rule sets of e-mail senders and phone numbers; links are in ``query_urls``, messages in ``messages``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from ..functions import text as T
 from ..functions import url as U
-from .scoring import Rule, evidence, score, verdict
-
-
-def url_rules(url: Column, blocked: Column) -> list[Rule]:
-    h = U.host(url)
-    brand = F.size(F.filter(F.array(*map(F.lit, lexicon.BRANDS)), lambda b: F.contains(h, b) & (U.registrable_label(h) != b)))
-    typo = U.registrable_label(h).isin(*(t for b in lexicon.BRANDS if len(b) >= 6 for t in U.typos(b))) if any(len(b) >= 6 for b in lexicon.BRANDS) else F.lit(False)
-    return [
-        Rule("url.blocklist", blocked, 70, "link"),
-        Rule("url.shortener", U.under_any(h, lexicon.SHORTENERS), 40, "link"),
-        Rule("url.tld", U.last_labels(h, 1).isin(*lexicon.ABUSED_TLDS), 30, "link"),
-        Rule("url.ip_host", h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), 35, "link"),
-        Rule("url.ipfs", url.rlike(r"/ipfs/[A-Za-z0-9]{20,}"), 40, "link"),
-        Rule("url.redirect", F.lower(url).rlike(r"[?&](url|redirect|next|target)=https?"), 15, "link"),
-        Rule("url.brand", brand > 0, 45 * brand, "link"),
-        Rule("url.typo", typo, 35, "link"),
-        Rule("url.punycode", F.exists(U.labels(h), lambda x: x.startswith("xn--")), 10, "link"),
-        Rule("url.hyphens", F.regexp_count(h, F.lit("-")) >= 3, 20, "link"),
-        Rule("url.plain_http", U.scheme(url) == "http", 15, "link"),
-        Rule("url.long", F.length(url) > 200, 15, "link"),
-        Rule("url.labels", F.size(U.labels(h)) > 5, 20, "link"),
-        Rule("url.login_word", F.lower(url).rlike("login|signin|verify|secure"), 10, "link"),
-        Rule("url.oauth", F.lower(url).rlike(r"/oauth2?/|/authorize\?"), 15, "link"),
-    ]
-
-
-def scored_urls(df: DataFrame, url: str, blocked_hosts: DataFrame) -> DataFrame:
-    """Rows with host, evidence, score and verdict.  ``blocked_hosts`` has a column host_hash; the join
-    is left to the optimizer, which broadcasts a small list and shuffles a large one."""
-    hashes = blocked_hosts.select(F.col("host_hash").alias("blocked_hash")).distinct()
-    rows = df.withColumn("host", U.host(F.col(url)))
-    joined = rows.join(hashes, U.host_hash(F.col("host")) == F.col("blocked_hash"), "left")
-    found = joined.withColumn("evidence", evidence(url_rules(F.col(url), F.col("blocked_hash").isNotNull()))).drop("blocked_hash")
-    return found.withColumn("score", score(F.col("evidence"))).withColumn("verdict", verdict(F.col("score")))
-
-
-def capped(text: Column, words: tuple[str, ...], each: int, most: int) -> Column:
-    return F.least(T.mentions(text, words) * each, F.lit(most))
-
-
-def message_rules(text: Column) -> list[Rule]:
-    t = T.present(text)
-    rules = [Rule(f"text.{name}", T.mentions_any(t, words), capped(t, words, each, most)) for name, words, each, most in lexicon.WORD_RULES]
-    link = F.lower(t).rlike(r"https?://|www\.")
-    phone = t.rlike(r"\+[0-9][0-9 ().-]{6,18}[0-9]")
-    asks = T.mentions_any(t, lexicon.ASKS)
-    return rules + [
-        Rule("text.link", link, 15),
-        Rule("text.reply_trick", T.mentions_any(t, ("reply y", "reply yes")) & link, 25),
-        Rule("text.qr", T.mentions_any(t, ("scan the code", "qr code")), 20),
-        Rule("text.authority", T.mentions_any(t, lexicon.AUTHORITIES), 0, deferred=25),
-        Rule("text.terminal", T.mentions_any(t, ("win r", "powershell", "terminal")) & T.mentions_any(t, ("paste", "run")), 50),
-        Rule("text.callback", phone & T.mentions_any(t, ("call", "ring")) & ~link, 30),
-        Rule("text.asks_to_call", T.mentions_any(t, ("call us", "call now")), 20, silenced_by="text.callback"),
-        Rule("text.secret_beside_phone", asks & phone, 20),
-    ]
-
-
-def scored_messages(df: DataFrame, text: str) -> DataFrame:
-    found = df.withColumn("evidence", evidence(message_rules(F.col(text))))
-    return found.withColumn("score", score(F.col("evidence"))).withColumn("verdict", verdict(F.col("score")))
+from .scoring import Rule
 
 
 # -- e-mail ---------------------------------------------------------------------------------

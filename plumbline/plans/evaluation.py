@@ -68,7 +68,20 @@ def lower_percentile(df: DataFrame, key: str, value: str, p: float) -> DataFrame
     return ranked.filter((at < F.col("upto")) & (at >= F.col("upto") - F.col("here"))).select(key, F.col(value).alias("percentile"), "n")
 
 
-def flips(now: DataFrame, before: DataFrame, key: str = "id") -> DataFrame:
-    """Cases that were right before and are wrong now; both have key, right."""
-    old = before.select(F.col(key).alias("old_key"), F.col("right").alias("was_right"))
-    return now.join(old, F.col(key) == F.col("old_key")).filter(F.col("was_right") & ~F.col("right")).drop("old_key", "was_right")
+def flips(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """Cases that were right before and are wrong now; both have keys, predicted and right."""
+    old = before.select(*keys, F.col("predicted").alias("was"), F.col("right").alias("was_right"))
+    return now.join(old, keys).filter(F.col("was_right") & ~F.col("right")).drop("was_right")
+
+
+def breaches(figures: DataFrame, limits: tuple[tuple[str, float, bool], ...]) -> DataFrame:
+    """metric, value, outcome: held, breached, or inconclusive where the limit lies within the interval."""
+    parts = {"recall": ("tp", "fn"), "fpr": ("fp", "tn"), "precision": ("tp", "fp")}
+    rows = []
+    for metric, bound, at_least in limits:
+        hits, n = F.col(parts[metric][0]), F.col(parts[metric][0]) + F.col(parts[metric][1])
+        value = F.round(_rate(hits, n), 6)
+        held = value >= bound if at_least else value <= bound
+        within = (wilson(hits, n, False) <= bound) & (wilson(hits, n, True) >= bound)
+        rows.append(F.struct(F.lit(metric).alias("metric"), value.alias("value"), F.when(held, "held").when(within, "inconclusive").otherwise("breached").alias("outcome")))
+    return figures.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -2,113 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import lexicon
 from .functions import text as T
-from .functions import url as U
 from .operators import channels as C
-from .operators import scoring as S
-from .plans import evaluation as E
 from .plans import store
+from .registry import QUERIES, SQL, query, quoted, table  # noqa: F401
 from .streaming import limits
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def quoted(values) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
-
-SPAM = "|".join(lexicon.SPAM_TOKENS)
-HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)"
-HOSTS = f"hosts AS (SELECT *, rtrim(lower({HOST}), '.') AS host FROM pages)"
-REGISTRABLE = f"""CASE WHEN array_to_string(p[-2:], '.') IN ({quoted(lexicon.LONG_SUFFIXES)}) THEN CASE WHEN len(p) >= 3 THEN array_to_string(p[-3:], '.') ELSE '' END
- WHEN len(p) >= 2 THEN array_to_string(p[-2:], '.') ELSE '' END"""
-
-
-def blocked_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hosts = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("host")).distinct()
-    return hosts.filter(F.col("host").rlike(SPAM)).select(U.host_hash(F.col("host")).alias("host_hash"))
-
-
-URL_SCORES = f"""WITH {HOSTS}, parts AS (SELECT *, string_split(host, '.') AS p FROM hosts), reg AS (SELECT *, {REGISTRABLE} AS reg FROM parts),
-r AS (SELECT page_id, [CASE WHEN regexp_matches(host, '{SPAM}') THEN 70 END,
- CASE WHEN {" OR ".join(f"host = '{s}' OR suffix(host, '.{s}')" for s in lexicon.SHORTENERS)} THEN 40 END,
- CASE WHEN p[-1] IN ({quoted(lexicon.ABUSED_TLDS)}) THEN 30 END,
- CASE WHEN regexp_matches(host, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') THEN 35 END,
- CASE WHEN regexp_matches(url, '/ipfs/[A-Za-z0-9]{{20,}}') THEN 40 END,
- CASE WHEN regexp_matches(lower(url), '[?&](url|redirect|next|target)=https?') THEN 15 END,
- nullif(45 * ({" + ".join(f"CAST(contains(host, '{b}') AND string_split(reg, '.')[1] <> '{b}' AS INT)" for b in lexicon.BRANDS)}), 0),
- CASE WHEN len(list_filter(p, lambda x: starts_with(x, 'xn--'))) > 0 THEN 10 END,
- CASE WHEN length(host) - length(replace(host, '-', '')) >= 3 THEN 20 END,
- CASE WHEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) = 'http' THEN 15 END,
- CASE WHEN length(url) > 200 THEN 15 END, CASE WHEN len(p) > 5 THEN 20 END,
- CASE WHEN regexp_matches(lower(url), 'login|signin|verify|secure') THEN 10 END,
- CASE WHEN regexp_matches(lower(url), '/oauth2?/|/authorize\\?') THEN 15 END] AS pts FROM reg),
-s AS (SELECT page_id, CAST(len(list_filter(pts, lambda x: x IS NOT NULL)) AS INT) AS n_signals, CAST(least(coalesce(list_sum(pts), 0), 100) AS INT) AS score FROM r),
-scored AS (SELECT *, CASE WHEN score < 20 THEN 'safe' WHEN score < 45 THEN 'suspicious' ELSE 'likely_scam' END AS verdict FROM s)"""
-
-
-def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.scored_urls(table(spark, sf_dir, "pages"), "url", blocked_hosts(spark, sf_dir))
-
-
-@query(URL_SCORES + " SELECT page_id, n_signals, score, verdict FROM scored")
-def url_scores(spark, sf_dir):
-    return _urls(spark, sf_dir).select("page_id", F.size("evidence").alias("n_signals"), "score", "verdict")
-
-
-@query(URL_SCORES + " SELECT verdict, count(*) AS n, max(score) AS most FROM scored GROUP BY verdict")
-def url_verdict_counts(spark, sf_dir):
-    return _urls(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"), F.max("score").alias("most"))
-
-
-@query(f"""WITH q AS (SELECT page_id, regexp_extract(url, '(#.*)$', 1) AS f, regexp_replace(url, '#.*$', '') AS b FROM pages),
-x AS (SELECT page_id, f, regexp_extract(b, '^([^?]*)', 1) AS pre, list_filter(string_split(regexp_extract(b, '^[^?]*\\?(.*)$', 1), '&'),
- lambda p: p <> '' AND lower(regexp_extract(p, '^([^=]*)', 1)) NOT IN ({quoted(lexicon.TRACKING_PARAMETERS)})) AS k FROM q)
-SELECT page_id, pre || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END || f AS clean_url FROM x""")
-def url_strip_tracking(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.without_tracking(F.col("url")).alias("clean_url"))
-
-
-@query(f"WITH {HOSTS}, parts AS (SELECT *, string_split(host, '.') AS p FROM hosts) SELECT page_id, host, {REGISTRABLE} AS registrable FROM parts")
-def host_registrable(spark, sf_dir):
-    h = U.host(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", h.alias("host"), U.registrable(h).alias("registrable"))
-
-
-@query(f"WITH {HOSTS} SELECT page_id, sha256(host)[1:16] AS host_hash FROM hosts WHERE regexp_matches(host, '{SPAM}')")
-def blocklist_hits(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", U.host_hash(U.host(F.col("url"))).alias("host_hash"))
-    return rows.join(blocked_hosts(spark, sf_dir), "host_hash", "left_semi").select("page_id", "host_hash")
-
-
-@query(f"WITH {HOSTS} SELECT page_id, b.brand FROM hosts JOIN (SELECT unnest([{quoted(lexicon.BRANDS)}]) AS brand) b ON contains(host, b.brand)")
-def brand_in_host(spark, sf_dir):
-    brands = F.filter(F.array(*map(F.lit, lexicon.BRANDS)), lambda b: F.contains(F.col("host"), b))
-    return table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("host")).select("page_id", F.explode(brands).alias("brand"))
-
-
 def _scrub_sql(column: str) -> str:
     for _, pattern, holder in T.PLACEHOLDERS:
         column = f"regexp_replace({column}, '{pattern}', '{holder}', 'g')"
@@ -129,67 +33,6 @@ def language_guess(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ((F.size(words) >= 10) & (share < 0.08)).alias("looks_foreign"))
 
 
-def _mentions_sql(column: str, words) -> str:
-    return "(" + " + ".join(f"CAST(regexp_matches(lower({column}), '\\b{w}\\b') AS INT)" for w in words) + ")"
-
-
-def _word_points_sql(column: str) -> dict[str, str]:
-    return {name: f"least({_mentions_sql(column, words)} * {each}, {most})" for name, words, each, most in lexicon.WORD_RULES}
-
-
-@query("SELECT doc_id, " + ", ".join(f"{sql} AS {name}_points" for name, sql in _word_points_sql("text").items()) + " FROM documents")
-def lexicon_scores(spark, sf_dir):
-    points = [C.capped(F.col("text"), words, each, most).alias(f"{name}_points") for name, words, each, most in lexicon.WORD_RULES]
-    return table(spark, sf_dir, "documents").select("doc_id", *points)
-
-
-_BASE = " + ".join(_word_points_sql("text").values())
-DEFERRED = f"""d AS (SELECT doc_id, source, {_BASE} AS base, {_mentions_sql("text", lexicon.AUTHORITIES)} > 0 AS authority FROM documents),
-s AS (SELECT doc_id, source, least(base + CASE WHEN authority AND base > 0 THEN 25 ELSE 0 END, 100) AS score FROM d)"""
-
-
-def _word_rules(text) -> list[S.Rule]:
-    return [r for r in C.message_rules(text) if r.rule_id in {"text.authority", *(f"text.{name}" for name, *_ in lexicon.WORD_RULES)}]
-
-
-def _word_scores(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "source", S.score(S.evidence(_word_rules(F.col("text")))).alias("score"))
-
-
-@query(f"WITH {DEFERRED} SELECT doc_id, score FROM s")
-def deferred_rules(spark, sf_dir):
-    return _word_scores(spark, sf_dir).select("doc_id", "score")
-
-
-_TURN = f"least({' + '.join(_word_points_sql('text').values())}, 100)"
-_ASK = _word_points_sql("text")["ask"]
-
-
-@query(f"SELECT conv_id, turn, CAST(floor(({_TURN} - {_ASK}) * CAST(0.7 AS DOUBLE)) + {_ASK} AS INT) AS score FROM conversations")
-def discounted_merge(spark, sf_dir):
-    t = F.col("text")
-    full = {name: C.capped(t, words, each, most) for name, words, each, most in lexicon.WORD_RULES}
-    sub = F.least(full["urgency"] + full["reward"] + full["ask"], F.lit(100))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.discounted(sub, full["ask"], 0.7).alias("score"))
-
-
-@query(f"""WITH t AS (SELECT conv_id, turn, {_TURN} AS score FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS k FROM t)
-SELECT conv_id, turn AS worst_turn, score FROM r WHERE k = 1""")
-def worst_identifier(spark, sf_dir):
-    t = F.col("text")
-    points = [C.capped(t, words, each, most) for _, words, each, most in lexicon.WORD_RULES]
-    scored = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.least(points[0] + points[1] + points[2], F.lit(100)).alias("score"))
-    worst = scored.groupBy("conv_id").agg(F.max(F.struct("score", (-F.col("turn")).alias("before"))).alias("w"))
-    return worst.select("conv_id", (-F.col("w.before")).alias("worst_turn"), F.col("w.score").alias("score"))
-
-
-@query(f"WITH {DEFERRED}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place FROM s) SELECT source, place, doc_id, score FROM r WHERE place <= 5")
-def top_cards(spark, sf_dir):
-    by = Window.partitionBy("source").orderBy(F.col("score").desc(), "doc_id")
-    return _word_scores(spark, sf_dir).withColumn("place", F.row_number().over(by)).filter("place <= 5").select("source", "place", "doc_id", "score")
-
-
 @query("SELECT o_orderkey AS id, o_orderpriority AS type FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority ILIKE '%urgent%' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def feed_page(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -266,43 +109,6 @@ def submission_guard(spark, sf_dir):
     return limits.guard(rows, "text", "sender", "seconds", "tie", 4).select("conv_id", "turn", "rung")
 
 
-CASES = f"""WITH {DEFERRED}, c AS (SELECT s.doc_id, s.source, d.lang, toxic = 1 AS scam, CASE WHEN d.lang <> 'en' THEN 'abstain' WHEN score >= 45 THEN 'flagged' WHEN score >= 20 THEN 'flagged' ELSE 'clean' END AS predicted, score
- FROM s JOIN documents d USING (doc_id) JOIN labels USING (doc_id))"""
-COUNTS = """count(*) FILTER (WHERE scam AND predicted = 'flagged') AS tp, count(*) FILTER (WHERE scam AND predicted = 'clean') AS fn,
- count(*) FILTER (WHERE NOT scam AND predicted = 'flagged') AS fp, count(*) FILTER (WHERE NOT scam AND predicted = 'clean') AS tn, count(*) FILTER (WHERE predicted = 'abstain') AS abstained"""
-
-
-def _wilson_sql(hits: str, n: str, sign: str) -> str:
-    z = E.Z
-    return f"CASE WHEN {n} > 0 THEN greatest(least(({hits} / {n}::DOUBLE + {z * z}::DOUBLE / (2 * {n}) {sign} {z}::DOUBLE * sqrt({hits} / {n}::DOUBLE * (1 - {hits} / {n}::DOUBLE) / {n} + {z * z}::DOUBLE / (4 * {n} * {n}))) / (1 + {z * z}::DOUBLE / {n}), 1.0), 0.0) END"
-
-
-RATES = f"""round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall, round({_wilson_sql("tp", "(tp + fn)", "-")}, 6) AS recall_low, round({_wilson_sql("tp", "(tp + fn)", "+")}, 6) AS recall_high,
- round(fp / nullif(fp + tn, 0)::DOUBLE, 6) AS fpr, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round((tp + fn + fp + tn) / nullif(tp + fn + fp + tn + abstained, 0)::DOUBLE, 6) AS coverage"""
-
-
-def _cases(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    scored = docs.withColumn("score", S.score(S.evidence(_word_rules(F.col("text")))))
-    predicted = E.prediction(S.verdict(F.col("score")), F.col("lang") == "en")
-    return scored.select("doc_id", "source", "lang", (F.col("toxic") == 1).alias("scam"), predicted.alias("predicted"), "score")
-
-
-@query(f"{CASES}, m AS (SELECT {COUNTS} FROM c) SELECT *, {RATES} FROM m")
-def eval_metrics(spark, sf_dir):
-    return E.metrics(_cases(spark, sf_dir))
-
-
-@query(f"{CASES}, m AS (SELECT lang, source, {COUNTS} FROM c GROUP BY GROUPING SETS ((lang), (lang, source), (source))) SELECT *, {RATES} FROM m")
-def eval_slices(spark, sf_dir):
-    return E.slices(_cases(spark, sf_dir), ["lang", "source"])
-
-
-@query(f"{CASES} SELECT lang, list_sort(list(score))[CAST(floor((count(*) - 1) * CAST(0.95 AS DOUBLE)) AS INT) + 1] AS percentile, count(*) AS n FROM c GROUP BY lang")
-def eval_percentile(spark, sf_dir):
-    return E.lower_percentile(_cases(spark, sf_dir), "lang", "score", 0.95)
-
-
 def _season_values() -> str:
     return ", ".join(f"('{n}', {a * 100 + b}, {c * 100 + d})" for n, a, b, c, d in lexicon.SEASONS)
 
@@ -327,13 +133,6 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b{p}\\b') THEN '{n}' END" for n, p in lexicon.PRESSURE) + "], lambda x: x IS NOT NULL), ',') AS tactics FROM conversations")
-def pressure_tactics(spark, sf_dir):
-    low = F.lower("text")
-    found = [F.when(low.rlike(T.WORD_EDGE_LEFT + p + T.WORD_EDGE_RIGHT), n) for n, p in lexicon.PRESSURE]
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_compact(F.array(*found)), ",").alias("tactics"))
-
-
 _PHONE = r"\+[0-9][0-9 ().-]{6,18}[0-9]"
 _BY_LENGTH = sorted(lexicon.CALLING_CODES, key=lambda c: (-len(c[0]), c[0]))
 _CODE_SQL = "CASE " + " ".join(f"WHEN starts_with(digits, '{code}') THEN '{country}'" for code, country, _ in _BY_LENGTH) + " END"
@@ -346,12 +145,6 @@ def phone_countries(spark, sf_dir):
     return numbers.groupBy(C.calling_code(F.col("number"))["country"].alias("country")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 40 ELSE 0 END + CASE WHEN s_suppkey % 5 = 0 THEN 35 ELSE 0 END AS score FROM supplier")
-def email_identity(spark, sf_dir):
-    """Headers made from supplier rows: every third answers elsewhere, every fifth fails its sender check."""
-    k = F.col("s_suppkey").cast("string")
-    raw = F.concat(
-        F.lit("From: Supplier <s"), k, F.lit("@mail.example.com>\r\nReply-To: <r"), k, F.when(F.col("s_suppkey") % 3 == 0, "@other.example.net>").otherwise("@mail.example.com>"),
-        F.lit("\r\nSubject: order\r\n"), F.lit("Authentication-Results: mx;\r\n spf="), F.when(F.col("s_suppkey") % 5 == 0, "fail").otherwise("pass"), F.lit("; dmarc=pass\r\n\r\nBody"),
-    )
-    return table(spark, sf_dir, "supplier").select("s_suppkey", S.score(S.evidence(C.identity_rules(C.email_headers(raw)))).alias("score"))
+from . import query_messages, query_more, query_urls  # noqa: E402, F401
+
+SQL |= {"rate_limit_accepts": query_more.RATE_SQL, "ttl_dedupe": query_more.TTL_SQL}

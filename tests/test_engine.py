@@ -86,9 +86,9 @@ def test_covered_verdict(spark):
 
 
 def test_email_headers_unfold_and_score(spark):
-    raw = "From: \"News\" <a@evil.com>\nReply-To: b@other.com\nAuthentication-Results: mx;\n dkim=pass header.d=evil.com; spf=softfail;\n dmarc=none\n\nReply-To: body@x.com"
+    raw = "From: \"PayPal\" <a@evil.com>\nReply-To: b@other.com\nAuthentication-Results: mx;\n dkim=pass header.d=evil.com; spf=softfail;\n dmarc=none\n\nReply-To: body@x.com"
     h = one(spark, C.email_headers(F.col("r")), r=raw)
-    assert (h["from_address"], h["reply_to"], h["spf"], h["dmarc"], h["display_name"]) == ("a@evil.com", "b@other.com", "softfail", "none", "News")
+    assert (h["from_address"], h["reply_to"], h["spf"], h["dmarc"], h["display_name"]) == ("a@evil.com", "b@other.com", "softfail", "none", "PayPal")
     found = one(spark, S.evidence(C.identity_rules(C.email_headers(F.col("r")))), r=raw)
     assert {s["rule_id"] for s in found} == {"mail.reply_to", "mail.brand_name", "mail.spf", "mail.dmarc_none"}
 
