@@ -111,9 +111,9 @@ def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     name = lambda id_, sha: F.xxhash64(F.coalesce(id_.cast("string"), F.lit("")), sha)
     found = deduplicate(docs, key, text).filter("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("own_name"), F.col("text_sha256").alias("own_sha"), F.col("doc_id").alias("stay_id"))
     raw = F.col(text).cast("string")
-    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), raw.alias("own_text"), sha256(lower_ascii(empty_if_null(raw))).alias("own_sha"))
+    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), sha256(lower_ascii(empty_if_null(raw))).alias("own_sha"))
     rows = rows.withColumn("own_name", name(F.col("own_id"), F.col("own_sha")))
     # Both the join and the grouping deal by name and digest, so whole rows are moved once.
     same = (rows["own_name"] == found["own_name"]) & (rows["own_sha"] == found["own_sha"]) & rows["own_id"].eqNullSafe(found["stay_id"])
     joined = rows.join(found, same, "left_semi")
-    return joined.groupBy("own_name", "own_sha").agg(F.min_by("own_row", F.coalesce("own_text", F.lit(""))).alias("own_row")).select("own_row.*")
+    return joined.groupBy("own_name", "own_sha").agg(F.min_by("own_row", F.coalesce(F.col("own_row").getField(text).cast("string"), F.lit(""))).alias("own_row")).select("own_row.*")

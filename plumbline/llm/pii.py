@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tables, slices, written
+from .common import Tables, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: An unseen run must have an ``@`` or this many digits to be an identifier at all.
@@ -255,10 +255,11 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), (
 _INSTANCE_TYPE = pa.list_(pa.struct([("value", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string())), ("whole", pa.string())]))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", min_digits: int = MIN_DIGITS, seeds: dict[str, re.Pattern] | None = None) -> DataFrame:
-    """The grammars' spans, further seeds and instances of every row; row_key is a digest of its text."""
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", min_digits: int = MIN_DIGITS, seeds: dict[str, re.Pattern] | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
+    """The grammars' spans, further seeds and instances of every row; row_key is a digest of its text.
+    Columns named in ``beside`` come first, as they are."""
     body = F.col(text).cast("string")
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("row_key"), body.alias("text"))
+    rows = docs.select(*beside, F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("row_key"), body.alias("text"))
     listed = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +271,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", min_digits: i
                 spans.append(listed(own))
                 more.append(listed(further))
                 found.append([{"value": v, "kind": k, "start": a, "end": b, "patterns": p, "whole": w} for v, k, a, b, p, w in instances(t, own + further, min_digits)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(spans, _SPAN_TYPE), pa.array(more, _SPAN_TYPE), pa.array(found, _INSTANCE_TYPE)], ["doc_id", "row_key", "spans", "seeds", "instances"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in beside), batch.column("doc_id"), batch.column("row_key"), pa.array(spans, _SPAN_TYPE), pa.array(more, _SPAN_TYPE), pa.array(found, _INSTANCE_TYPE)], [*beside, "doc_id", "row_key", "spans", "seeds", "instances"])
 
-    return rows.mapInArrow(find, _FOUND)
+    return rows.mapInArrow(find, T.StructType([*(rows.schema[c] for c in beside), *_FOUND]))
 
 
 def score(found: DataFrame, tables: Tables, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -342,12 +343,24 @@ def span_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """The input's rows and columns, every span replaced by its kind in angle brackets; ``length``
-    names a column that holds the text's number of characters."""
-    found = extract(docs, key, text)
-    hit = written(found.filter((F.size("spans") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key"), F.concat("spans", "added").alias("hit_spans")).distinct(), "hits")
-    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), F.col(text).cast("string").alias("own_text"))
-    same = rows["own_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(rows["own_text"]) == hit["hit_key"])
-    joined = rows.join(hit, same, "left")
+    names a column that holds the text's number of characters.
+
+    Rows are written beside their spans.  Only rows with an unseen identifier wait for what patterns claim
+    and are joined with it; all others are never moved.
+    """
+    tables = Tables(docs.sparkSession)
+    packed = docs.select(F.struct("*").alias("own_row"), F.monotonically_increasing_id().alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = tables.write(scan(packed, beside=("own_row",)), "rows-and-instances")
+    claimed = score(found, tables)
+    waits = F.exists("instances", lambda i: i["kind"].isNull())
+    unseen = found.filter(waits).select("doc_id", F.explode("instances").alias("i")).filter("i.kind IS NULL").select("doc_id", "i.value", "i.start", "i.end", "i.whole")
+    told = unseen.join(claimed, "value").join(claimed.select(F.col("value").alias("whole")), "whole", "left_anti")
+    added = told.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+    own = F.concat("spans", "seeds")
+    none = F.array().cast(found.schema["spans"].dataType)
+    still = found.filter(~waits).select("own_row", own.alias("hit_spans"))
+    moved = found.filter(waits).select("doc_id", "own_row", own.alias("known")).join(added, "doc_id", "left").select("own_row", F.concat("known", F.coalesce("added", none)).alias("hit_spans"))
+    rows = still.unionByName(moved).select("own_row", F.col("own_row").getField(text).cast("string").alias("own_text"), "hit_spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "own_text"):
@@ -356,8 +369,8 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", length: s
                 texts.append(replaced(t, [(s["kind"], s["start"], s["end"]) for s in spans or ()]))
             yield pa.RecordBatch.from_arrays([batch.column("own_row"), pa.array(texts, pa.string())], ["own_row", "new_text"])
 
-    schema = T.StructType([T.StructField("own_row", joined.schema["own_row"].dataType), T.StructField("new_text", T.StringType())])
-    out = joined.select("own_row", "own_text", "hit_spans").mapInArrow(clean, schema)
+    schema = T.StructType([T.StructField("own_row", rows.schema["own_row"].dataType), T.StructField("new_text", T.StringType())])
+    out = rows.mapInArrow(clean, schema)
     kind = {f.name: f.dataType for f in docs.schema.fields}
     new = {text: F.col("new_text")} | ({length: F.length("new_text").cast(kind[length])} if length else {})
     return out.select(*(new[c].alias(c) if c in new else F.col("own_row").getField(c).alias(c) for c in docs.columns))
