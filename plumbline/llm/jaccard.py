@@ -564,9 +564,12 @@ def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     tables = Tables(docs.sparkSession)
     found = tables.write(profiles(docs, key, text), "profiles")
     roots = connect(found, text, tables)
-    placed = _placed(found, roots)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "row_no")
-    first = placed.filter("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first")).select("first.row_no")
-    stay = tables.write(placed.filter("n_shingles = 0").select("row_no").unionByName(first), "stay")
+    placed = tables.write(_placed(found, roots), "placed")
     tables.drop(roots)
-    return found.filter("row_no IS NOT NULL").join(stay, "row_no", "left_semi").select("own_row.*")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "row_no")
+    filled = placed.filter("n_shingles > 0")
+    first = filled.groupBy("component").agg(F.min(order).alias("first")).select("first.row_no")
+    # Those that go are fewer than those that stay; while they are few, whole rows need not be moved.
+    gone = tables.write(filled.select("row_no").join(first, "row_no", "left_anti"), "gone")
+    tables.drop(placed)
+    return found.filter("row_no IS NOT NULL").join(gone, "row_no", "left_anti").select("own_row.*")
