@@ -121,6 +121,16 @@ def _bitmaps(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A block of the sketch in as few bytes a cell as its counts need."""
+    most = counts.max()
+    return counts.astype("<u1" if most < 256 else "<u2" if most < 65536 else "<i8").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<{'i' if len(raw) == 8 * BLOCK else 'u'}{len(raw) // BLOCK}").astype(np.int64)
+
+
 PROFILE = "doc_id bigint, node bigint, n_shingles bigint, text_hash bigint, first boolean, mins array<bigint>, bits array<bigint>, block int, counts binary"
 
 
@@ -149,8 +159,7 @@ def profiles(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFram
         used = [b for b in range(cells.size // BLOCK) if cells[b * BLOCK : (b + 1) * BLOCK].any()]
         if used:
             m = len(used)
-            narrow = "<u2" if cells.max() < 65536 else "<i8"
-            blocks = pa.array([cells[b * BLOCK : (b + 1) * BLOCK].astype(narrow).tobytes() for b in used], pa.binary())
+            blocks = pa.array([_packed(cells[b * BLOCK : (b + 1) * BLOCK]) for b in used], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.nulls(m, own_type), *[pa.nulls(m, pa.int64())] * 5, pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.list_(pa.int64()))] * 2, pa.array(used, pa.int32()), blocks], names)
 
     fields = [rows.schema["own_row"], rows.schema["row_no"], *T.StructType.fromDDL(PROFILE)]
@@ -165,19 +174,17 @@ def frequency_classes(found: DataFrame) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                own = np.frombuffer(raw, "<i8" if len(raw) == 8 * BLOCK else "<u2").astype(np.int64)
+                own = _unpacked(raw)
                 held[b] = held[b] + own if b in held else own
         if held:
-            packed = [x.astype("<u2" if x.max() < 65536 else "<i8").tobytes() for x in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array(map(_packed, held.values()), pa.binary())], ["block", "counts"])
 
     blocks = found.filter("block IS NOT NULL").select("block", "counts")
     # Tasks add up their own shares first, so that a block meets one row from each task.
     sums = blocks.mapInArrow(add, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
     cells = np.zeros(1 << CELL_BITS, np.int64)
     for row in sums.collect():  # one row for each block: 1024
-        raw = row["counts"]
-        cells[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(raw, "<i8" if len(raw) == 8 * BLOCK else "<u2")
+        cells[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = _unpacked(row["counts"])
     return np.minimum(10 * np.log2(1 + cells), 255).astype(np.uint8)
 
 
@@ -362,17 +369,34 @@ def open_entries(entries: DataFrame, nodes: DataFrame, threshold: Fraction = THR
     own = entries.join(many.select("token", F.ceil(F.col("n") / LIST_PART).cast("int").alias("parts")), "token")
     # A node's entries are a quarter of its own shingles at most.
     order = Window.partitionBy("node").orderBy("at")
-    own = own.select("*", *(F.lag("token", i + 1).over(order).alias(c) for i, c in enumerate(EARLIER)), F.floor(F.log("size") / np.log(1 / float(threshold))).cast("int").alias("size_block"))
+    own = own.select("*", *(F.lag("token", i + 1).over(order).alias(c) for i, c in enumerate(EARLIER)), size_block(F.col("size"), threshold).alias("size_block"))
     return own.join(nodes.select("node", *(F.col("bits")[i].alias(b) for i, b in enumerate(BITS))), "node")
 
 
+def size_block(size: Column, threshold: Fraction) -> Column:
+    """Blocks of set sizes, in which sizes grow by two factors of 1/t."""
+    return F.floor(F.log(size) / (2 * np.log(1 / float(threshold)))).cast("int")
+
+
+def partner_blocks(threshold: Fraction) -> Column:
+    """The blocks of the sizes that a partner of a front entry may have.
+
+    Linked sets meet at the first shingle they share, so all that they share stands from there on:
+    t / (1 + t) * (|x| + |y|) <= |x| - i; and |y| >= t * |x|.
+    """
+    t = float(threshold)
+    least, most = t * F.col("size"), (1 + t) / t * (F.col("size") - F.col("at")) - F.col("size")
+    low, high = size_block(least * (1 - 1e-9), threshold), size_block(most * (1 + 1e-9), threshold)
+    return F.sequence(low, F.greatest(low, high))
+
+
 def candidates(open_: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Pairs a < b of different components that meet in blocks of some list which positions allow."""
     t = float(threshold)
     sides = ("node", "size", "at", "component", *EARLIER, *BITS)
     # i + j <= (1/t - 1) * min(|x| - i, |y| - j), so one of a pair has (2/t - 1) * i <= (1/t - 1) * |x|.
     front = open_.filter((2 / t - 1) * F.col("at") <= (1 / t - 1) * F.col("size") + 1e-6)
-    x = front.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"x_{c}") for c in sides), F.explode(F.array(*(F.col("size_block") + d for d in (-1, 0, 1)))).alias("size_block"))
+    x = front.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"x_{c}") for c in sides), F.explode(partner_blocks(threshold)).alias("size_block"))
     y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in sides), "size_block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     met = x.join(y, ["token", "size_block", "part"])
     rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
