@@ -113,7 +113,9 @@ def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     raw = F.col(text).cast("string")
     rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), sha256(lower_ascii(empty_if_null(raw))).alias("own_sha"))
     rows = rows.withColumn("own_name", name(F.col("own_id"), F.col("own_sha")))
-    # Both the join and the grouping deal by name and digest, so whole rows are moved once.
-    same = (rows["own_name"] == found["own_name"]) & (rows["own_sha"] == found["own_sha"]) & rows["own_id"].eqNullSafe(found["stay_id"])
+    # Both the join and the grouping deal by name and digest, so whole rows are moved once: written as
+    # a null-safe equality, the ids would be further keys of the join, and the grouping would move them again.
+    same_id = F.coalesce(rows["own_id"] == found["stay_id"], rows["own_id"].isNull() & found["stay_id"].isNull())
+    same = (rows["own_name"] == found["own_name"]) & (rows["own_sha"] == found["own_sha"]) & same_id
     joined = rows.join(found, same, "left_semi")
     return joined.groupBy("own_name", "own_sha").agg(F.min_by("own_row", F.coalesce(F.col("own_row").getField(text).cast("string"), F.lit(""))).alias("own_row")).select("own_row.*")
