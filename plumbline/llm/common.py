@@ -122,12 +122,13 @@ def sort_key(column: Column) -> Column:
     return column.asc_nulls_first()
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str, name: str, within: str | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order: list[str], value: str, name: str, within: str | None = None, total: str | None = None, tables: Tables | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all rows that come before, for any number of rows.
 
     Rows are dealt to ranges of ``order`` and sorted there; each range sums its own rows, the totals
     of the ranges (one row each) are summed in turn, and no task holds more than a range.  With
-    ``within``, a leading column of ``order``, sums start anew at each of its values.
+    ``within``, a leading column of ``order``, sums start anew at each of its values; ``total`` then
+    names a column for the sum over all rows of the value.  ``tables`` keeps the written step.
     """
     spark = df.sparkSession
     keys = [sort_key(F.col(c)) for c in order]
@@ -147,11 +148,13 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, name: str, within:
             columns = [*batch.columns, pa.array([number] * batch.num_rows, pa.int32()), pa.array(out, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "range_no", name])
 
-    part = written(dealt.mapInArrow(sums, fields), "prefix")
+    summed = dealt.mapInArrow(sums, fields)
+    part = tables.write(summed, "prefix") if tables else written(summed, "prefix")
     by = [within] if within else []
     totals = part.groupBy("range_no", *by).agg(F.sum(value).alias("range_total"))
     before = Window.partitionBy(*by).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each range (and group): as many as there are tasks, however many rows there are.
-    starts = totals.select("range_no", *by, F.coalesce(F.sum("range_total").over(before), F.lit(0)).alias("range_start"))
-    joined = part.join(F.broadcast(starts), ["range_no", *by])
-    return joined.withColumn(name, F.col(name) + F.col("range_start")).select(*df.columns, name)
+    starts = totals.select("range_no", *by, F.coalesce(F.sum("range_total").over(before), F.lit(0)).alias("range_start"), *([F.sum("range_total").over(Window.partitionBy(*by)).alias(total)] if total else []))
+    # Groups whose number has no bound are joined by shuffle; (range, group) holds a range's rows at most.
+    joined = part.join(starts if total else F.broadcast(starts), ["range_no", *by])
+    return joined.withColumn(name, F.col(name) + F.col("range_start")).select(*df.columns, name, *([total] if total else []))

@@ -63,4 +63,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  NOT (base_failed OR 100 * word_chars < 200 * n_words OR 100 * word_chars > 1200 * n_words OR 100 * n_symbols > 40 * n_words OR 100 * n_dup_lines > 40 * n_lines
  OR 100 * n_stop < n_words OR 100 * n_marks > 40 * n_words) AS kept FROM v"""
 
-SQL = {"op2_sharding": OP2, "op6_quality": OP6, "op1_exact_dedup": OP1, "op4_substring_dedup": OP4, "op8_jaccard": OP8}
+#: Levels of all trees by recursion, the crown of subroots as group '|'; a document's siblings are the others of its runs.
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_LEVELS = """{name}(g, k, i, n, d) AS (SELECT {base} UNION ALL
+ SELECT g, k + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY g, k, i // 3, n)"""
+#: CRC-32 of decimal ids is not in SQL's library; its lowest bit comes from the bits of the bytes.
+OP11 = f"""WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, source, lang, n_chars, text, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) % 2 = 0 AS half FROM b, crc_table),
+l AS (SELECT doc_id, coalesce('=' || source, '') AS g, sha256({_LEAF}) AS leaf, CASE WHEN half THEN sha256({_LEAF.replace("(text AS", "(replace(text, chr(10), '') AS")}) ELSE sha256({_LEAF}) END AS checked FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+{_LEVELS.format(name="lv", base="g, 0, i, n, leaf FROM p")},
+top AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+{_LEVELS.format(name="cr", base="'|', 0, i, n, d FROM top")},
+heights AS (SELECT g, max(k) AS h FROM lv GROUP BY g),
+steps AS (SELECT p.g, p.i, 0 AS part, v.k, v.i AS pos, v.i // 3 AS up, v.n FROM p JOIN lv v ON v.g = p.g AND v.i = p.i // CAST(pow(3, v.k) AS BIGINT) AND v.n > 1),
+own AS (SELECT s.g, s.i, s.part, s.k, coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (o.i < s.pos), '') AS before, coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (o.i > s.pos), '') AS after
+ FROM steps s JOIN lv o ON o.g = s.g AND o.k = s.k AND o.i // 3 = s.up GROUP BY ALL),
+crown AS (SELECT top.g, 1 AS part, v.k, coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (o.i < v.i), '') AS before, coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (o.i > v.i), '') AS after
+ FROM top JOIN cr v ON v.i = top.i // CAST(pow(3, v.k) AS BIGINT) AND v.n > 1 JOIN cr o ON o.k = v.k AND o.i // 3 = v.i // 3 GROUP BY ALL),
+path AS (SELECT g, i, list(before || '|' || after ORDER BY part, k) AS steps, string_agg(before || after, '' ORDER BY part, k) AS siblings
+ FROM (SELECT g, i, part, k, before, after FROM own UNION ALL SELECT p.g, p.i, c.part, c.k, c.before, c.after FROM p JOIN crown c ON c.g = p.g) GROUP BY g, i),
+f AS (SELECT p.doc_id, p.leaf, top.d AS subroot, r.d AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+ list_reduce(list_prepend(p.checked, coalesce(steps, [])), lambda c, s: sha256(split_part(s, '|', 1) || c || split_part(s, '|', 2))) AS folded_root
+ FROM p JOIN top ON top.g = p.g JOIN cr r ON r.n = 1 LEFT JOIN path ON path.g = p.g AND path.i = p.i)
+SELECT *, folded_root = root AS verified FROM f"""
+
+SQL = {"op11_merkle": OP11, "op2_sharding": OP2, "op6_quality": OP6, "op1_exact_dedup": OP1, "op4_substring_dedup": OP4, "op8_jaccard": OP8}

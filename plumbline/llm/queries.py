@@ -1,4 +1,4 @@
-"""The contract queries of the ten operators and their SQL."""
+"""The contract queries of the operators and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, license_scan, oracles, packing, pii, quality, sharding, substring_dedup, token_orc
+from . import bpe, exact_dedup, jaccard, license_scan, merkle, oracles, packing, pii, quality, sharding, substring_dedup, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_rows(documents(spark, sf_dir))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op4_substring_dedup, op5_bpe, op6_quality, op7_packing, op8_jaccard, op9_token_orc, op10_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op4_substring_dedup, op5_bpe, op6_quality, op7_packing, op8_jaccard, op9_token_orc, op10_pii, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
