@@ -21,6 +21,7 @@ any length are hashed whole; an empty table gives no rows; columns beside the fi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,12 +61,10 @@ def group_key(group: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
 
 
-_NONE = F.lit(b"")
-
-
-def _joined(run: Column, wanted) -> Column:
+def _joined(run: Column, wanted: Callable[[Column], Column]) -> Column:
     """The digests of a run at the places wanted, one after another."""
-    return F.concat(*(F.when(wanted(F.lit(i)), F.coalesce(F.get(run, i), _NONE)).otherwise(_NONE) for i in range(FAN)))
+    none = F.lit(b"")
+    return F.concat(*(F.when(wanted(F.lit(i)), F.coalesce(F.get(run, F.lit(i)), none)).otherwise(none) for i in range(FAN)))
 
 
 @dataclass
