@@ -70,7 +70,7 @@ def _joined(run: Column, wanted: Callable[[Column], Column]) -> Column:
 @dataclass
 class Tree:
     """Levels of the trees of all groups: grp, idx, n (nodes of the group at the level), digest and run;
-    ``tops`` has grp and digest of each group's root."""
+    ``tops`` has grp, digest and height of each group's root."""
 
     levels: list[DataFrame]
     tops: DataFrame
@@ -85,37 +85,40 @@ def _parents(level: DataFrame) -> DataFrame:
 def build(nodes: DataFrame, tables: Tables) -> Tree:
     """The trees of all groups over (grp, idx, n, digest) and whatever other columns the leaves have."""
     widest = nodes.agg(F.max("n")).first()[0] or 0
-    levels, tops, above = [], nodes.filter("n = 1").select("grp", "digest"), nodes
+    top = lambda df, height: df.filter("n = 1").select("grp", "digest", F.lit(height).alias("height"))
+    levels, tops, above = [], top(nodes, 0), nodes
     while widest > 1:
         runs = Window.partitionBy("grp", "parent").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         active = above.filter("n > 1").withColumn("parent", F.floor(F.col("idx") / FAN))
         levels.append(tables.write(active.withColumn("run", F.collect_list("digest").over(runs)), "level"))
         above, widest = _parents(levels[-1]), -(-widest // FAN)
-        tops = tops.unionByName(above.filter("n = 1").select("grp", "digest"))
-    return Tree(levels, tops)
+        tops = tops.unionByName(top(above, len(levels)))
+    return Tree(levels, tables.write(tops, "tops"))
 
 
 PATH = "array<struct<before:binary,after:binary>>"
 
 
-def paths(tree: Tree, leaves: DataFrame, above: DataFrame, carried: list[str]) -> DataFrame:
+def paths(tree: Tree, leaves: DataFrame, above: DataFrame, carried: list[str], tables: Tables) -> DataFrame:
     """The leaves with their path: siblings before and after each node from the leaf to the root.
 
-    ``above`` has grp, the path from the group's root on, and the columns ``carried``.
+    ``above`` has grp, height, the path from the group's root on, and the columns ``carried``.
     """
-    top = above.select(F.col("grp").alias("top"), F.col("path").alias("path_above"), *carried)
-    known = None
-    for level in reversed(tree.levels):
-        place = F.col("idx") % FAN
-        own = level.withColumn("own", F.struct(_joined(F.col("run"), lambda i, at=place: i < at).alias("before"), _joined(F.col("run"), lambda i, at=place: i > at).alias("after"))).drop("run")
-        own = own if level is tree.levels[0] else own.select("grp", "idx", "n", "parent", "own")
-        # The last run of a group hangs below its root: three nodes at most.
-        met = own.filter(F.col("n") <= FAN).join(top, F.col("grp") == F.col("top")).drop("top")
-        if known is not None:
-            up = known.select(F.col("grp").alias("up"), F.col("idx").alias("up_idx"), F.col("path").alias("path_above"), *carried)
-            met = met.unionByName(own.filter(F.col("n") > FAN).join(up, (F.col("grp") == F.col("up")) & (F.col("parent") == F.col("up_idx"))).drop("up", "up_idx"))
-        known = met.withColumn("path", F.concat(F.array("own"), "path_above")).drop("own", "path_above", "parent")
-    lone = leaves.filter("n = 1").join(top, F.col("grp") == F.col("top")).drop("top").withColumnRenamed("path_above", "path")
+    up = lambda df, idx: df.select(F.col("grp").alias("up"), idx.alias("up_idx"), F.col("path").alias("path_above"), *carried)
+    place, known = F.col("idx") % FAN, None
+    own = F.struct(_joined(F.col("run"), lambda i: i < place).alias("before"), _joined(F.col("run"), lambda i: i > place).alias("after"))
+    for height in range(len(tree.levels), 0, -1):
+        level = tree.levels[height - 1]
+        # The last run of a group hangs below its root, all other runs below a node of the level above.
+        over = up(above.filter(F.col("height") == height), F.lit(0).cast("bigint"))
+        over = over if known is None else over.unionByName(up(known, F.col("idx")))
+        met = level.withColumn("own", own).join(over, (F.col("grp") == F.col("up")) & (F.col("parent") == F.col("up_idx")))
+        met = met.withColumn("path", F.concat(F.array("own"), "path_above")).drop("own", "run", "path_above", "parent", "up", "up_idx")
+        if height > 1:
+            met = tables.write(met.select("grp", "idx", "path", *carried), "paths")
+            tables.drop(known, level)
+        known = met
+    lone = leaves.filter("n = 1").join(up(above.filter("height = 0"), F.lit(0)), F.col("grp") == F.col("up")).drop("up", "up_idx").withColumnRenamed("path_above", "path")
     return lone if known is None else known.unionByName(lone)
 
 
@@ -134,16 +137,15 @@ def proofs(docs: DataFrame, tables: Tables, fields: tuple[str, ...] = FIELDS, gr
     placed = prefix_sums(rows, ["grp", "key", "digest"], "one", "idx", within="grp", total="n", tables=tables)
     leaves = tables.write(placed.drop("one"), "leaves")
     trees = build(leaves, tables)
-    tops = tables.write(trees.tops, "subroots")
-    numbered = prefix_sums(tops.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest", F.lit(1).cast("bigint").alias("one")), ["grp", "name"], "one", "idx", within="grp", total="n", tables=tables)
+    numbered = prefix_sums(trees.tops.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest", F.col("height").alias("own_height"), F.lit(1).cast("bigint").alias("one")), ["grp", "name"], "one", "idx", within="grp", total="n", tables=tables)
     groups = tables.write(numbered.drop("one"), "groups")
     crown = build(groups, tables)
-    root = crown.tops.select("digest").first()
-    root = bytes(root[0]) if root else None
-    start = crown.tops.select("grp", F.array().cast(PATH).alias("path"))
-    above = paths(crown, groups, start, []).select(F.col("name").alias("grp"), "path", F.col("digest").alias("subroot"))
-    found = paths(trees, leaves, above, ["subroot"])
-    return found.select("key", F.col("digest").alias("leaf"), "checked", "subroot", F.lit(root).cast("binary").alias("root"), "path")
+    top = crown.tops.select("digest").first()
+    root = F.lit(bytes(top[0]) if top else None).cast("binary")
+    start = crown.tops.select("grp", "height", F.array().cast(PATH).alias("path"))
+    above = paths(crown, groups, start, [], tables).select(F.col("name").alias("grp"), F.col("own_height").alias("height"), "path", F.col("digest").alias("subroot"))
+    found = paths(trees, leaves, tables.write(above, "above"), ["subroot"], tables)
+    return found.select("key", F.col("digest").alias("leaf"), "checked", "subroot", root.alias("root"), "path")
 
 
 def manifest(docs: DataFrame, tables: Tables | None = None, group: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
