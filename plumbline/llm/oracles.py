@@ -90,4 +90,30 @@ f AS (SELECT p.doc_id, p.leaf, top.d AS subroot, r.d AS root, sha256(coalesce(si
  FROM p JOIN top ON top.g = p.g JOIN cr r ON r.n = 1 LEFT JOIN path ON path.g = p.g AND path.i = p.i)
 SELECT *, folded_root = root AS verified FROM f"""
 
-SQL = {"op11_merkle": OP11, "op2_sharding": OP2, "op6_quality": OP6, "op1_exact_dedup": OP1, "op4_substring_dedup": OP4, "op8_jaccard": OP8}
+#: Every group has every kept term here, absent or not, and every pair of sources is compared term by term.
+_SHARE = "(1 + CAST((1000000000::HUGEINT * ({0} + 2)) // ({1} + 2 * {2}) AS BIGINT))"
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT d.lang, source, coalesce(v, 0) AS v FROM d LEFT JOIN v USING (lang)),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+a AS (SELECT g.lang, g.source, k.term, g.v, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(n) OVER (PARTITION BY lang) AS lang_total, sum(n) OVER (PARTITION BY lang, term) AS lang_n FROM a),
+p AS (SELECT *, {_SHARE.format("n", "total", "v")} AS p, {_SHARE.format("lang_n", "lang_total", "v")} AS q FROM s),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+ LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+ UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10"""
+
+OP12 = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+m AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+w(r, seen) AS (SELECT r, r FROM v UNION SELECT l.b, w.seen FROM w JOIN l ON w.r = l.a),
+c AS (SELECT w.r, min(s.vec_id) AS component_id FROM w JOIN v s ON w.seen = s.r GROUP BY w.r)
+SELECT v.vec_id, coalesce(m.n, 0) AS n_links, c.component_id, v.vec_id IS NOT DISTINCT FROM c.component_id AS kept FROM v JOIN c USING (r) LEFT JOIN m ON m.a = v.r"""
+
+SQL = {"op12_vectors": OP12, "op13_divergence": OP13, "op11_merkle": OP11, "op2_sharding": OP2, "op6_quality": OP6, "op1_exact_dedup": OP1, "op4_substring_dedup": OP4, "op8_jaccard": OP8}

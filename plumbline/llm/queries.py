@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, license_scan, merkle, oracles, packing, pii, quality, sharding, substring_dedup, token_orc
+from . import bpe, divergence, exact_dedup, jaccard, license_scan, merkle, oracles, packing, pii, quality, sharding, substring_dedup, token_orc, vectors
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 
 
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("ball")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op4_substring_dedup, op5_bpe, op6_quality, op7_packing, op8_jaccard, op9_token_orc, op10_pii, op11_merkle)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_license_scan, op4_substring_dedup, op5_bpe, op6_quality, op7_packing, op8_jaccard, op9_token_orc, op10_pii, op11_merkle, op12_vectors, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
