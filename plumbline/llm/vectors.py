@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -278,9 +279,10 @@ def members_compared(open_: DataFrame, ball_of: DataFrame, size: DataFrame, vali
     dealt = ball_of.join(size.select("ball", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "ball")
     dealt = dealt.select("ball", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).join(valid.select("node", "vector"), "node")
     key = ["a", "b", "block_a", "block_b"]
-    side = lambda s: met.join(dealt.select(F.col("ball").alias(s), F.col("block").alias(f"block_{s}"), "node", "vector"), [s, f"block_{s}"]).select(*key, "node", "vector")
+    side = lambda s: met.join(dealt.select(F.col("ball").alias(s), F.col("block").alias(f"block_{s}"), "node", "vector"), [s, f"block_{s}"]).select(*key, F.lit(s == "a").alias("is_a"), "node", "vector")
 
-    def count(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def count(key: tuple, both: pa.Table) -> pa.Table:
+        left, right = both.filter(both.column("is_a")), both.filter(pc.invert(both.column("is_a")))
         x, y = (np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1)) for t in (left, right))
         linked = x @ y.T >= threshold if x.size and y.size and x.shape[1] == y.shape[1] else np.zeros((x.shape[0], y.shape[0]), bool)
         n = np.concatenate([linked.sum(1), linked.sum(0)]).astype(np.int64)
@@ -288,7 +290,7 @@ def members_compared(open_: DataFrame, ball_of: DataFrame, size: DataFrame, vali
         own = n > 0
         return pa.table({"a": pa.array([key[0].as_py()] * int(own.sum()), pa.int64()), "b": pa.array([key[1].as_py()] * int(own.sum()), pa.int64()), "node": pa.array(node[own]), "links": pa.array(n[own])})
 
-    return side("a").groupBy(*key).cogroup(side("b").groupBy(*key)).applyInArrow(count, "a bigint, b bigint, node bigint, links bigint")
+    return side("a").unionByName(side("b")).groupBy(*key).applyInArrow(count, "a bigint, b bigint, node bigint, links bigint")
 
 
 # -- the join -------------------------------------------------------------------------------
