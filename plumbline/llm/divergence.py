@@ -40,7 +40,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS, REPORTED = 10, 10
 SCALE = 1_000_000_000
 #: Bytes of text counted at a time, rows that a shard holds on average, and memory of a task's SQL.
-SLICE, SHARD_ROWS, MEMORY = 16_000_000, 400_000, "600MB"
+SLICE, SHARD_ROWS, MEMORY = 32_000_000, 400_000, "400MB"
 
 
 def _session(folder: str) -> duckdb.DuckDBPyConnection:
@@ -95,34 +95,48 @@ def _plain(table: pa.Table) -> pa.Table:
     return table.cast(pa.schema([(f.name, pa.string() if f.type in (pa.large_string(), pa.string_view()) else f.type) for f in table.schema]))
 
 
+def _rows(con: duckdb.DuckDBPyConnection, name: str, batches: Iterator[pa.RecordBatch]) -> None:
+    """The batches as a table of the database, one after another: none waits in Python."""
+    for i, batch in enumerate(batches):
+        con.register("batch", pa.Table.from_batches([batch]))
+        con.execute(f"INSERT INTO {name} SELECT * FROM batch" if i else f"CREATE TABLE {name} AS SELECT * FROM batch").fetchall()
+        con.unregister("batch")
+
+
+def _is_empty(con: duckdb.DuckDBPyConnection) -> bool:
+    return not con.execute("SELECT count(*) FROM duckdb_tables()").fetchall()[0][0]
+
+
 KEPT = "shard int, lang string, source string, term string, n bigint, first int"
-_KEEP = f"""SELECT {{shard}}::INTEGER AS shard, lang, source, term, CAST(sum(n) AS BIGINT) AS n,
+_KEEP = """SELECT shard, lang, source, term, CAST(sum(n) AS BIGINT) AS n,
  CAST(row_number() OVER (PARTITION BY lang, term ORDER BY source) = 1 AS INTEGER) AS first
-FROM counts GROUP BY lang, source, term QUALIFY sum(sum(docs)) OVER (PARTITION BY lang, term) >= {{least}}"""
+FROM counts GROUP BY shard, lang, source, term QUALIFY sum(sum(docs)) OVER (PARTITION BY lang, term) >= {least}"""
 
 
-def kept_terms(counts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def kept_terms(counts: DataFrame, shards: int, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """The counts of each group's terms that are in enough documents of the language; of each
-    language's term one row is marked as first."""
+    language's term one row is marked as first.  A task has one shard."""
 
-    def keep(key: tuple, table: pa.Table) -> pa.Table:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder, _session(folder) as con:
-            con.register("counts", table)
-            return _plain(con.sql(_KEEP.format(shard=key[0].as_py(), least=least)).to_arrow_table())
+            _rows(con, "counts", batches)
+            if not _is_empty(con):
+                yield from _plain(con.sql(_KEEP.format(least=least)).to_arrow_table()).to_batches()
 
-    return counts.groupBy("shard").applyInArrow(keep, KEPT)
+    shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int")
+    dealt = counts.select(shard.alias("shard"), "*").repartitionById(shards, "shard")
+    return dealt.mapInArrow(keep, KEPT)
 
 
 PARTIAL = "kind string, lang string, a string, b string, term string, value bigint"
 #: Counts with the shares of their group, and what a share is where the term is missing.
 _SHARES = f"""CREATE TEMP TABLE c AS SELECT c.lang, c.source, c.term, c.n, g.p0, {share("c.n", "g.total", "g.terms")} AS p, g.terms, g.lang_total
-FROM counts c JOIN groups g USING (lang, source)"""
-_BOTH = f"""SELECT 'pair' AS kind, x.lang, x.source AS a, y.source AS b, NULL::VARCHAR AS term,
- CAST(sum({differs("x.p", "y.p")} - {differs("x.p", "y.p0")} - {differs("x.p0", "y.p")} + {differs("x.p0", "y.p0")}) AS BIGINT) AS value
+FROM mixed c JOIN mixed g ON c.term IS NOT NULL AND g.term IS NULL AND c.lang = g.lang AND c.source = g.source"""
+_BOTH = f"""SELECT x.lang, x.source AS a, y.source AS b, sum({differs("x.p", "y.p")} - {differs("x.p", "y.p0")} - {differs("x.p0", "y.p")} + {differs("x.p0", "y.p0")}) AS value
 FROM c x JOIN c y ON x.lang = y.lang AND x.term = y.term AND x.source < y.source GROUP BY x.lang, x.source, y.source"""
-_ONE = f"""SELECT 'pair' AS kind, o.lang, least(o.source, g.source) AS a, greatest(o.source, g.source) AS b, NULL::VARCHAR AS term,
- CAST(sum(o.k * ({differs("o.p", "g.p0")} - {differs("o.p0", "g.p0")})) AS BIGINT) AS value
-FROM (SELECT lang, source, p, p0, count(*) AS k FROM c GROUP BY lang, source, p, p0) o JOIN groups g ON g.lang = o.lang AND g.source <> o.source GROUP BY ALL"""
+_ONE = f"""SELECT o.lang, least(o.source, g.source) AS a, greatest(o.source, g.source) AS b, sum(o.k * ({differs("o.p", "g.p0")} - {differs("o.p0", "g.p0")})) AS value
+FROM (SELECT lang, source, p, p0, count(*) AS k FROM c GROUP BY lang, source, p, p0) o JOIN mixed g ON g.term IS NULL AND g.lang = o.lang AND g.source <> o.source GROUP BY ALL"""
+_PAIR = f"SELECT 'pair' AS kind, lang, a, b, NULL::VARCHAR AS term, CAST(sum(value) AS BIGINT) AS value FROM ({_BOTH} UNION ALL {_ONE}) GROUP BY lang, a, b"
 _TERM = f"""SELECT 'term' AS kind, lang, source AS a, NULL::VARCHAR AS b, term, {differs("p", "q")} AS value
 FROM (SELECT lang, source, term, p, {share("sum(n) OVER (PARTITION BY lang, term)", "lang_total", "terms")} AS q FROM c) WHERE p > q
 QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {differs("p", "q")} DESC, term) <= {{reported}}"""
@@ -131,18 +145,19 @@ QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {differs("p", "q")
 def partial_sums(kept: DataFrame, groups: DataFrame, shards: int, reported: int = REPORTED) -> DataFrame:
     """Each shard's share of what pairs of sources differ by, and its foremost terms of each group.
 
-    ``groups`` has lang, source, total, terms, p0 and lang_total; shards get those of all groups.
+    ``groups`` has lang, source, total, terms, p0 and lang_total; a shard's task gets all of them, as rows without a term.
     """
 
-    def add(key: tuple, counts: pa.Table, own: pa.Table) -> pa.Table:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder, _session(folder) as con:
-            con.register("counts", counts)
-            con.register("groups", own)
-            con.execute(_SHARES)
-            return _plain(con.sql(f"{_BOTH} UNION ALL {_ONE} UNION ALL ({_TERM.format(reported=reported)})").to_arrow_table())
+            _rows(con, "mixed", batches)
+            if not _is_empty(con):
+                con.execute(_SHARES).fetchall()
+                yield from _plain(con.sql(f"{_PAIR} UNION ALL ({_TERM.format(reported=reported)})").to_arrow_table()).to_batches()
 
     every = groups.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "*")
-    return kept.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(add, PARTIAL)
+    mixed = kept.drop("first").unionByName(every, allowMissingColumns=True)
+    return mixed.repartitionById(shards, "shard").mapInArrow(add, PARTIAL)
 
 
 def groups_of(rows: DataFrame, kept: DataFrame) -> DataFrame:
@@ -162,7 +177,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     rows = docs.select(empty_if_null(lang).alias("lang"), empty_if_null(source).alias("source"), empty_if_null(text).alias("text"))
     counts = tables.write(counted(rows), "counts")
     shards = max(1, -(-counts.count() // SHARD_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kept = tables.write(kept_terms(counts.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int")), least), "kept-terms")
+    kept = tables.write(kept_terms(counts, shards, least), "kept-terms")
     tables.drop(counts)
     groups = tables.write(groups_of(rows.select("lang", "source"), kept), "groups")
     partial = tables.write(partial_sums(kept, groups, shards, reported), "partial-sums")
