@@ -113,15 +113,3 @@ def scrubbed(text: Column) -> Column:
     for _, pattern, holder in PLACEHOLDERS:
         text = F.regexp_replace(text, pattern, holder)
     return text
-
-
-def html_text(html: Column) -> Column:
-    """What a reader sees: no comments, scripts, styles or tags; entities of five characters restored."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?is)<(?:script|style|head)\b.*?</(?:script|style|head)>", " ")
-    t = F.regexp_replace(t, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for entity, character in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(character))
-    t = F.regexp_replace(t, r"[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import lexicon
+from .functions import mime
 from .functions import text as T
 from .operators import channels as C
 from .plans import store
@@ -123,9 +124,24 @@ def season_active(spark, sf_dir):
     return days.select("n", F.explode(F.filter(seasons, inside)).alias("s")).groupBy("s.season").agg(F.sum("n").alias("n"))
 
 
-@query()
+def _readable_sql(html: str) -> str:
+    """The steps of ``mime.readable`` written for an engine without look-around: what was looked at is put back."""
+    for pattern in (r"(?is)<!--.*?-->", r"(?is)<style[\s/>].*?</style>", r"(?is)<script[\s/>].*?</script>", r"(?is)<head[\s/>].*?</head>"):
+        html = f"regexp_replace({html}, '{pattern}', '', 'g')"
+    anchor = r"""(?is)<a(?:[\s/][^>]*?\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)[^>]*|[\s/][^>]*|)>(.*?)</a(?:[^>]*>|[^>]*\z)"""
+    html = f"replace(regexp_replace({html}, '{anchor}', '\\2' || chr(1) || '\\1' || chr(2), 'g'), chr(1) || chr(2), '')"
+    html = f"translate({html}, chr(1) || chr(2), ' ')"
+    html = f"regexp_replace({html}, '(?i)</(?:p|div|tr|h[1-6]|li|blockquote)>', chr(10), 'g')"
+    html = f"regexp_replace(regexp_replace({html}, '(?i)<br([\\s/>])', chr(10) || '<\\1', 'g'), '<[^>]*>', '', 'g')"
+    for name, character in (("nbsp", "' '"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("apos", "chr(39)"), ("#39", "chr(39)"), ("amp", "'&'")):
+        html = f"regexp_replace({html}, '(?i)&{name};', {character}, 'g')"
+    html = f"array_to_string(list_transform(string_split({html}, chr(10)), lambda x: regexp_replace(x, '\\s+\\z', '')), chr(10))"
+    return f"regexp_replace(regexp_replace({html}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g')"
+
+
+@query(f"SELECT page_id, {_readable_sql('html')} AS text FROM pages")
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", mime.readable(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
@@ -145,6 +161,6 @@ def phone_countries(spark, sf_dir):
     return numbers.groupBy(C.calling_code(F.col("number"))["country"].alias("country")).agg(F.count("*").alias("n"))
 
 
-from . import query_messages, query_more, query_urls  # noqa: E402, F401
+from . import query_mail, query_messages, query_more, query_prose, query_urls  # noqa: E402, F401
 
 SQL |= {"rate_limit_accepts": query_more.RATE_SQL, "ttl_dedupe": query_more.TTL_SQL}

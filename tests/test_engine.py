@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import queries
+from plumbline.functions import mime
 from plumbline.functions import text as T
 from plumbline.functions import url as U
 from plumbline.operators import channels as C
@@ -47,7 +48,7 @@ def test_text_functions(spark):
     assert one(spark, T.has_confusables(F.col("t")), t="plain") is False
     assert one(spark, T.mentions(F.col("t"), ("caf", "the")), t="café the") == 2  # boundaries are ASCII
     assert one(spark, T.channel_of(F.col("t")), t="From: x\n\nhi") == "email"
-    assert one(spark, T.html_text(F.col("t")), t="<p>a &amp;lt; b</p><script>x</script><!-- y -->c") == "a &lt; b\nc"
+    assert one(spark, mime.readable(F.col("t")), t="<p>a &amp;lt; b</p><script>x</script><!-- y -->c") == "a &lt; b\nc"
 
 
 def rule(i, fires, points, **more):
