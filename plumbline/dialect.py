@@ -27,6 +27,10 @@ class Spark:
     def replace(self, column: str, regex: str, by: str = " ") -> str:
         return f"regexp_replace({column}, {self.text(regex)}, '{by}')"
 
+    def ref(self, group: int) -> str:
+        """A group in a replacement."""
+        return f"${group}"
+
     def pieces(self, column: str, regex: str) -> str:
         return f"split({column}, {self.text(regex)})"
 
@@ -77,6 +81,9 @@ class Duck(Spark):
     def replace(self, column: str, regex: str, by: str = " ") -> str:
         return f"regexp_replace({column}, {self.text(regex)}, '{by}', 'g')"
 
+    def ref(self, group: int) -> str:
+        return f"\\{group}"
+
     def pieces(self, column: str, regex: str) -> str:
         return f"regexp_split_to_array({column}, {self.text(regex)})"
 

@@ -1,4 +1,4 @@
-"""Reference data of the scoring engine: word lists, region packs, hosts, suffixes, numbers, seasons.
+"""Fixed data of the scoring engine: word lists, region packs, hosts, suffixes, numbers, seasons.
 
 All lists are fixed values in order of precedence and are this engine's own.  ``pack`` gives the lists of a
 region: the base lists followed by the region's; ``entries`` lists every pack as rows for joins.
@@ -37,6 +37,7 @@ BASE = {
     "investment": ("trading group", "guaranteed returns", "investment group", "trading signals", "double your money"),
     "crypto": ("bitcoin", "crypto", "usdt", "ethereum"),
     "reregistration": ("re register your identity", "update your id", "verify your identity again"),
+    "foreign_authority": ("chinese embassy", "chinese consulate", "chinese police", "interpol officer", "overseas police"),
     "misspelt": ("kindly do the needful", "recieve", "acount", "verfy", "securty"),
 }
 #: Region packs: what a region adds, and how far it is covered; flags are pack-dependent switches.
@@ -63,8 +64,7 @@ def pack(region: str | None) -> dict:
     """The lists of a region, base entries first; unknown regions resolve to the default."""
     own = PACKS.get(region or "", PACKS[DEFAULT_REGION])
     lists = {name: tuple(dict.fromkeys((*BASE.get(name, ()), *own.get(name, ())))) for name in (*BASE, *_OWN)}
-    others = tuple(a for r, p in PACKS.items() if p is not own for a in p["authority"] if a not in own["authority"])
-    return {**lists, "foreign": others, "flags": own["flags"], "tier": own["tier"], "official_suffix": own["official_suffix"], "plan": own["plan"]}
+    return {**lists, "flags": own["flags"], "tier": own["tier"], "official_suffix": own["official_suffix"], "plan": own["plan"]}
 
 
 def entries() -> list[tuple[str, str, int, str]]:

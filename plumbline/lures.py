@@ -49,6 +49,12 @@ MESSAGES = (
     (1, "Kindly do the needful and verfy your acount"),
     (1, "Quantum AI Trader pays out every hour"),
     (1, "Please re-register your identity with the portal"),
+    (1, "Chinese embassy: overseas police hold an arrest warrant for you, stay on the line"),
+    (1, "Do not wait, send your password and card number now"),
+    (1, "Payment of $220.00 has been charged. If you did not authorise this, call 1300 655 505"),
+    (1, "Please call us on 13 24 61 now"),
+    (1, "Fee of £1.50 to release your parcel"),
+    (0, "Your refund of $13.50 from 1300 Flowers was paid on 2026-03-04"),
     (0, "Dinner at seven? Bring the salad"),
     (0, "The meeting moved to 3 pm, same room as before"),
     (1, "Unpаid tоll nоtice, pay at onсe"),

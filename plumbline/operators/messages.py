@@ -16,7 +16,13 @@ from .. import lexicon
 from ..dialect import SPARK, Spark, folded, phrases
 
 LINK = r"https?://[^\s]+"
-NEGATED = r"\b(?:never|do not|don.t|will not|won.t|not)\b[^.]*\b(?:ask|share|send|give|tell)"
+#: A promise not to ask, or advice not to give, within 40 characters: it excuses its own clause only.
+NEGATED = r"\b(?:never|do not|don.t|will not|won.t|not)\b.{0,40}?\b(?:ask|share|send|give|tell)"
+#: Where a clause ends: at a stop, at a word that turns, and at a comma behind which a new request starts.
+CLAUSE_END = r"[.!?;\n]+|\b(?:but|however|though|although|and then)\b"
+NEW_REQUEST = r",\s*((?:please\s+|just\s+|kindly\s+|then\s+)?(?:ask|share|send|give|tell|reply|enter|confirm|update|verify|pay|click|call|provide|forward)\b)"
+#: Numbers to call, written in any way: not the digits of a price, a date or a longer code.
+CALLABLE = r"(?:^|[^A-Za-z0-9.,$£€/-])\+?\(?[0-9][0-9 ().-]{4,18}[0-9](?:$|[^A-Za-z0-9/-])"
 CALL = r"\b(?:call|ring|phone|dial)\b"
 NUMBER = r"\+[0-9][0-9 ().-]{6,18}[0-9]"
 
@@ -46,7 +52,7 @@ def signals(d: Spark, region: str | None) -> dict[str, str]:
         "n_urgency": many("urgency"), "n_reward": many("reward"), "n_claim": d.count("t", r"\bclaim(?:s|ed|ing)?\b"),
         "n_claim_noun": d.count("t", r"\b(?:insurance|warranty|the|a|this|that)\s+claim\b"), "n_ask": many("ask", "s"), "n_service": many("service", "s"),
         "coaching": hit("coaching"), "family": word(r"^(?:hi|hey|hello)\s+" + phrases(p["family"])), "money_ask": hit("money_ask"), "pretext": hit("pretext"),
-        "fee": word(r"\b(?:fee|charge|postage|levy)\b"), "amount": f"coalesce(TRY_CAST({d.extract('t', '[$]\\s?([0-9]+(?:[.][0-9]{1,2})?)', 1)} AS DOUBLE), 0.0)",
+        "fee": word(r"\b(?:fee|charge|postage|levy)\b"), "amount": f"coalesce(TRY_CAST({d.extract('t', '[$£€]\\s?([0-9]+(?:[.][0-9]{1,2})?)', 1)} AS DOUBLE), 0.0)",
         "fix_address": word(r"\b(?:update|confirm|correct)\s+(?:your\s+)?(?:delivery\s+)?address\b"), "delivery": word(r"\b(?:delivery|parcel|package|courier|post)\b"),
         "rental": word(r"\b(?:rent|rental|apartment|landlord|lease)\b"), "keys_by_post": hit("keys_by_post"), "deposit": word(r"\bdeposit\b"), "bank": word(r"\b(?:bank\s+details|account\s+number|account\s+details|bsb|iban)\b", "s"),
         "benefit": word(r"\b(?:eligible\s+for|entitled\s+to)\b[^.]*\b(?:grant|benefit|rebate|payment)\b"), "changed": word(r"\b(?:payment|bank|account)\s+details\s+(?:have\s+)?changed\b"),
@@ -57,9 +63,9 @@ def signals(d: Spark, region: str | None) -> dict[str, str]:
         "n_jobs": many("jobs"), "tasks": word(r"\b(?:task|earning|commission)s?\b"), "unlock": word(r"\b(?:deposit|top\s+up|recharge|pay)\b[^.]*\b(?:withdraw|unlock|release)|\bunlock\b[^.]*\bdeposit\b"),
         "code_ask": word(r"\b(?:send|give|tell|forward|read)\s+(?:me|us)\b[^.]*\b(?:code|otp)\b", "s"), "chat_status": word(r"\b(?:whatsapp|telegram)\s+account\s+will\s+be\s+(?:banned|deleted|suspended)\b"),
         "winnings": word(r"\b(?:verify|verification)\b[^.]*\b(?:winnings|jackpot|prize)\b|\b(?:winnings|jackpot)\b[^.]*\bverif"), "recovered": word(r"\brecover(?:ed|y)\b[^.]*\bfunds?\b"), "release_fee": word(r"\brelease\s+fee\b|\bpay\b[^.]*\bfee\b"),
-        "n_investment": many("investment"), "crypto": hit("crypto"), "authority": hit("authority"), "no_link_sender": hit("no_link_senders"), "unofficial_link": d.has(no_legit, r"https?://|\bwww\."), "outlandish": hit("foreign"),
+        "n_investment": many("investment"), "crypto": hit("crypto"), "authority": hit("authority"), "no_link_sender": hit("no_link_senders"), "unofficial_link": d.has(no_legit, r"https?://|\bwww\."), "outlandish": hit("foreign_authority"),
         "chat_app": word(r"\b(?:whatsapp|telegram)\b"), "add_us": word(r"\b(?:add|contact|message)\s+(?:us|me)\b"), "brand": hit("brands"), "glued": d.has(no_own, rf"https?://[^\s/]*(?:{brands})"),
-        "billed": word(r"\b(?:renewed|charged|billed|withdrawal\s+was\s+requested)\b"), "disown": word(r"\bif\s+you\s+did\s+not\b|\bnot\s+you\b"), "call": word(CALL), "phone": d.has("raw", NUMBER), "call_us": word(r"\b(?:call|ring|phone)\s+(?:us|now|on)\b"),
+        "billed": word(r"\b(?:renewed|charged|billed|withdrawal\s+was\s+requested)\b"), "disown": word(r"\bif\s+you\s+did\s+not\b|\bnot\s+you\b"), "call": word(CALL), "phone": d.has("raw", CALLABLE), "call_us": word(r"\b(?:call|ring|phone)\s+(?:us|now|on)\b"),
         "exchange": hit("exchanges"), "misspelt": hit("misspelt"), "platform": hit("platforms"), "reregister": hit("reregistration") + " OR " + word(r"\bre-register\s+your\s+identity\b"),
         "spliced": d.has("raw", r"[A-Za-z][\x{0370}-\x{04FF}]|[\x{0370}-\x{04FF}][A-Za-z]"), "n_foreign_letters": d.count("raw", r"[\x{0370}-\x{1FFF}\x{3040}-\x{9FFF}]"), "n_latin_letters": d.count("raw", r"[A-Za-z]"),
         "shortened": " OR ".join(f"link_host = '{h}'" for h in lexicon.SHORTENERS), "abused": d.has("link_host", r"\.(?:" + "|".join(lexicon.ABUSED_TLDS) + ")$"),
@@ -98,7 +104,8 @@ def steps(d: Spark, region: str | None, channel: str = "sms") -> list[list[str]]
     own = rules(region, channel)
     t = folded(d, "raw")
     first = [f"{t} AS t"]
-    clean = d.join(d.kept(d.pieces("t", r"[.!?;\n]+"), "c", f"NOT {d.has('c', NEGATED)}"), ". ")
+    clauses = d.pieces(d.replace("t", NEW_REQUEST, ". " + d.ref(1)), CLAUSE_END)
+    clean = d.join(d.kept(clauses, "c", f"NOT {d.has('c', NEGATED)}"), ". ")
     found = signals(d, region)
     late = {k: found.pop(k) for k in ("shortened", "abused")}
     second = [f"{clean} AS s"]

@@ -147,7 +147,7 @@ def message_tactics(spark, sf_dir):
 
 @query(f"WITH {MESSAGES} SELECT conv_id, turn, concat_ws(',', {', '.join(f'''CASE WHEN regexp_matches(lower(text[:100000]), '\\b{p}\\b') THEN '{n}' END''' for n, p in lexicon.PRESSURE)}) AS tactics FROM msgs")
 def pressure_tactics(spark, sf_dir):
-    low = F.lower(F.substring("text", 1, 100_000))  # the reference's own bound
+    low = F.lower(F.substring("text", 1, 100_000))  # longer texts are judged by their beginning: a documented bound
     return _messages(spark, sf_dir).select("conv_id", "turn", F.concat_ws(",", *(F.when(low.rlike(rf"\b{p}\b"), n) for n, p in lexicon.PRESSURE)).alias("tactics"))
 
 

@@ -22,6 +22,11 @@ CASES = [
     ("fee above 20", "a fee of $21 is due", {}), ("fee up to 20", "a fee of $20 is due", {"small_fee": 20}), ("one job phrase", "work from home", {}),
     ("accents", "ácт now, úrgent", {"urgency": 10}), ("invisible", "ur​gent", {"urgency": 10}), ("inflected", "lotteries and jackpots", {"reward": 12}),
     ("callback silences", "You were charged $300. If you did not order, call us on +1 (803) 555-0142 now", {"callback": 30}), ("callback vetoed by a link", "You were charged. If you did not, call +1 (803) 555-0142 or see https://a.com", {"link": 15}),
+    ("a refusal excuses its own clause only", "Do not wait, send your password and card number now", {"sensitive_ask": 30}), ("a refusal with a turn", "We never ask for codes but send your password", {"sensitive_ask": 15}),
+    ("a list behind a refusal", "We will never ask for your password, pin number or security code", {}), ("a refusal far away", "Never mind what the other people at the branch of the bank said, give us your password", {"sensitive_ask": 15}),
+    ("local numbers", "Payment of $220.00 has been charged. If you did not authorise this, call 1300 655 505", {"callback": 30}), ("short numbers", "Please call us on 13 24 61 now", {"asks_to_call": 20}),
+    ("a price is no number to call", "Please call us now about the $1300.00 you paid", {}), ("pounds", "Fee of £1.50 to release your parcel", {"small_fee": 20}), ("euros", "a fee of € 2,00 is due", {"small_fee": 20}),
+    ("a neighbour's post", "Royal Mail delivered your parcel", {}), ("foreign police", "The Chinese embassy says so", {"foreign_authority": 35}),
     ("family needs all three", "Hi mum, this is my new number", {}), ("family", "Hi mum, new number, lend me 50", {"family": 45}), ("nothing", "", {}),
 ]
 
@@ -37,12 +42,21 @@ def test_rules_fire_and_vetoes_hold(spark, region):
 def test_regions_differ_by_packs_and_switches(spark):
     text = ["HMRC officer: add us on WhatsApp, urgent", "unverified sender"]
     au, gb, zz = (told(spark, text, r) for r in ("AU", "GB", "ZZ"))
-    assert "foreign_authority" in au[0][0] and "authority_in_chat" in gb[0][0] and "authority" not in zz[0][0]
+    assert "foreign_authority" not in au[0][0] and "authority_in_chat" in gb[0][0] and "authority" not in zz[0][0]
     assert au[1][0] == {"unverified_sender": 35} and gb[1][0] == {}
     assert told(spark, ["see you at noon"], "ZZ")[0][2] == "unknown" and told(spark, ["see you at noon"], "AU")[0][2] == "safe"
     assert lexicon.pack("XX") == lexicon.pack(lexicon.DEFAULT_REGION)
 
 
+def test_no_pack_scores_below_none(spark):
+    """A pack adds lists and switches, so no built message scores less with it than without any."""
+    texts = [t for _, t in lures.MESSAGES]
+    none = [score for _, score, _ in told(spark, texts, "ZZ")]
+    for region in ("AU", "GB", "US", "DE"):
+        weaker = [t for t, (found, score, _), least in zip(texts, told(spark, texts, region), none) if score < least and not any(host in t for host in lexicon.pack(region)["legit"])]
+        assert weaker == [], region
+
+
 def test_every_rule_fires_on_some_built_message(spark):
     fired = set()
     for region in ("AU", "GB"):
