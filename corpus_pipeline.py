@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  Between stages
 rows are written as Parquet in the cluster's shared folder and read again, so a lost executor costs
-one stage's tasks at most; they are deleted when their last reader is done.
+one stage's tasks at most.  A stage begins by deleting what its predecessor wrote for itself, which
+nothing reads any more once that stage's rows are written; what the last stage reads stays, as its
+rows may be read at any time.
 
 Defined cases, stage by stage as its operator defines them: null, empty and word-less texts fail the quality
 rules and go; of equal texts the largest id stays, null ids being the smallest; of near copies the smallest
@@ -18,6 +20,19 @@ from plumbline.llm import exact_dedup, jaccard, packing, pii, quality
 from plumbline.llm.common import Tables
 
 
+#: What the latest call of each stage has written for itself, by session and stage.
+_HELD: dict[tuple[str, str], Tables] = {}
+
+
+def _tables(spark: SparkSession, docs: DataFrame, stage: str, before: str) -> Tables:
+    """Tables of a stage that begins; those of the stage before it go, but for what its input reads."""
+    session = spark.sparkContext.applicationId
+    if (session, before) in _HELD:
+        _HELD.pop((session, before)).close(docs)
+    _HELD[session, stage] = Tables(spark)
+    return _HELD[session, stage]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.kept_rows(docs)
@@ -25,22 +40,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    return exact_dedup.kept_rows(docs)
+    return exact_dedup.kept_rows(docs, tables=_tables(spark, docs, "exact", ""))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    return jaccard.kept_rows(docs)
+    return jaccard.kept_rows(docs, tables=_tables(spark, docs, "near", "exact"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in them is replaced by its kind."""
-    return pii.redacted(docs, length="n_chars" if "n_chars" in docs.columns else None)
+    return pii.redacted(docs, length="n_chars" if "n_chars" in docs.columns else None, tables=_tables(spark, docs, "personal", "near"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document in a sequence of 4096 tokens."""
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, tables=_tables(spark, docs, "packed", "personal")).drop("ids")
 
 
 STAGES = [

@@ -61,7 +61,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._paths: list[tuple[DataFrame, str, str | None]] = []
+        self._paths: list[tuple[DataFrame | None, str, str | None]] = []
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path, schema = scratch(self.spark, label), df.schema
@@ -79,13 +79,28 @@ class Tables:
         self._paths.append((table, path, name))
         return table
 
+    def folder(self, label: str) -> str:
+        """A folder that is deleted with the tables."""
+        path = scratch(self.spark, label)
+        self._paths.append((None, path, None))
+        return path
+
+    def close(self, reader: DataFrame | None = None) -> None:
+        """Deletes all that is left, but for what a reader still reads."""
+        read = reader.inputFiles() if reader is not None and self._paths else []
+        for held in [x for x in self._paths if not any(x[1].rsplit("/", 1)[1] in f for f in read)]:
+            self._delete(held)
+
+    def _delete(self, held: tuple[DataFrame | None, str, str | None]) -> None:
+        self._paths.remove(held)
+        if held[2]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {held[2]}")
+        delete(self.spark, held[1])
+
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
-            for held in [x for x in self._paths if x[0] is table]:
-                self._paths.remove(held)
-                if held[2]:
-                    self.spark.sql(f"DROP TABLE IF EXISTS {held[2]}")
-                delete(self.spark, held[1])
+            for held in [x for x in self._paths if table is not None and x[0] is table]:
+                self._delete(held)
 
 
 def empty_if_null(text: str | Column) -> Column:

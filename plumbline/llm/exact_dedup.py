@@ -7,7 +7,9 @@ by digest, so a text that makes up a third of the input sends one row from each
 the run in its checkpoint folder and is read back as a table.
 
 Digests that were hit more than once have the full bytes of their texts checked; should two texts
-ever share a digest, those rows are grouped by their bytes instead.
+ever share a digest, those rows are grouped by their bytes instead.  A Bloom filter of these digests, of
+fixed size, tells every task which of its rows may be such hits: all other texts, whose digest stands
+alone, are neither checked nor moved.  Rows that it lets through in error cost a move and nothing else.
 
 Defined cases: null text counts as empty; texts are equal when identical after lower-casing A-Z;
 the largest id stays, null ids being the smallest, and of rows that repeat an id one stays; an
@@ -17,13 +19,16 @@ name.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import empty_if_null, lower_ascii, scratch
+from .common import Tables, empty_if_null, lower_ascii
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SETTINGS = {
@@ -35,6 +40,8 @@ SETTINGS = {
 }
 #: Rows of one digest are checked in so many parts before the parts are compared.
 PARTS = 32
+#: Bits of the filter of hit digests (8 MB, whatever the input), bits that a digest sets, bytes of a block.
+FILTER_BITS, PROBES, BLOCK = 1 << 26, 4, 1 << 16
 
 
 def sha256(text: Column) -> Column:
@@ -62,6 +69,51 @@ def seen(rows: DataFrame, checkpoint: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _probes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The bits of each digest, from two 64-bit hashes."""
+    a, b = first.astype(np.uint64)[:, None], second.astype(np.uint64)[:, None] | np.uint64(1)
+    return (a + b * np.arange(PROBES, dtype=np.uint64)) % np.uint64(FILTER_BITS)
+
+
+def hit_filter(hits: DataFrame) -> Callable[[Column], Column]:
+    """Whether a digest may be one of ``hits``; never false for one that is."""
+    spark = hits.sparkSession
+    hashes = lambda digest: (F.xxhash64(digest), F.xxhash64(F.lit("second"), digest))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = _probes(np.asarray(batch.column(0)), np.asarray(batch.column(1))).ravel()
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        rows = bits.reshape(-1, BLOCK)
+        used = np.nonzero(rows.any(1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], ["block", "bits"])
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+                own = np.frombuffer(raw, np.uint8)
+                held[i] = held[i] | own if i in held else own
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
+
+    first, second = hashes(F.col("digest"))
+    found = hits.select(first.alias("first"), second.alias("second")).mapInArrow(blocks, "block int, bits binary").repartition("block").mapInArrow(united, "block int, bits binary")
+    bits = np.zeros((FILTER_BITS // 8 // BLOCK, BLOCK), np.uint8)
+    for row in found.collect():  # 128 blocks at most
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def may_be(first: pd.Series, second: pd.Series) -> pd.Series:
+        at = _probes(first.to_numpy(np.int64), second.to_numpy(np.int64))
+        known = np.frombuffer(shared.value, np.uint8)
+        return pd.Series((known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(1))
+
+    return lambda digest: may_be(*hashes(digest))
+
+
 def _shared_digests(texts: DataFrame, hit: DataFrame) -> DataFrame:
     """Digests, among those hit, under which full texts differ.
 
@@ -76,23 +128,30 @@ def _shared_digests(texts: DataFrame, hit: DataFrame) -> DataFrame:
     return whole.filter("least <> most").select("digest")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, files_per_trigger: int = 1000) -> DataFrame:
-    """Every row with keep_id, group_size, kept and text_sha256."""
+def _found(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Column], files_per_trigger: int, tables: Tables) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Every row's answer, and what tells rows that may be hits by their digest."""
     spark = docs.sparkSession
     body = lower_ascii(empty_if_null(text))
-    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), digest(body).alias("digest"), sha256(body).alias("text_sha256"), body.alias("body"))
-    folder, checkpoint = scratch(spark, "digests"), scratch(spark, "digest-state")
+    folder, checkpoint = tables.folder("digests"), tables.folder("digest-state")
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), digest(body).alias("digest"), sha256(body).alias("text_sha256"), F.monotonically_increasing_id().alias("row_no"), F.input_file_name().alias("locator"))
     narrow.write.parquet(folder)
     stream = spark.readStream.schema(narrow.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    state = seen(stream, checkpoint)
+    # Written as a table: reading the state opens its stores anew each time.
+    state = tables.write(seen(stream, checkpoint), "seen")
     rows = spark.read.schema(narrow.schema).parquet(folder)
     out = rows.join(state, "digest").select("doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), "text_sha256", "digest")
-    shared = _shared_digests(texts, state.filter("group_size > 1").select("digest"))
-    mixed = [r["digest"] for r in shared.take(1)]
-    if mixed:
+    hits = tables.write(state.filter("group_size > 1").select("digest"), "hits")
+    may_be = hit_filter(hits)
+    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), digest(body).alias("digest"), sha256(body).alias("text_sha256"), body.alias("body")).filter(may_be(F.col("digest")))
+    shared = _shared_digests(texts, hits)
+    if shared.take(1):
         out = out.join(shared, "digest", "left_anti").unionByName(_by_bytes(texts.join(shared, "digest")))
-    return out.drop("digest")
+    return out, may_be
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, files_per_trigger: int = 1000, tables: Tables | None = None) -> DataFrame:
+    """Every row with keep_id, group_size, kept and text_sha256."""
+    return _found(docs, key, text, digest, files_per_trigger, tables or Tables(docs.sparkSession))[0].drop("digest")
 
 
 def _by_bytes(texts: DataFrame) -> DataFrame:
@@ -102,20 +161,22 @@ def _by_bytes(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.max("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"), (F.row_number().over(first) == 1).alias("kept"), "text_sha256", "digest")
 
 
-def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", tables: Tables | None = None) -> DataFrame:
     """The rows that stay, with all their own columns; one for each distinct text.
 
     Of rows that repeat the id and the normalised text that stay, the one with the smallest text as it was
-    written stays; where those are equal too, any one of them.
+    written stays; where those are equal too, any one of them.  Rows whose text stands alone stay where they are.
     """
     name = lambda id_, sha: F.xxhash64(F.coalesce(id_.cast("string"), F.lit("")), sha)
-    found = deduplicate(docs, key, text).filter("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("own_name"), F.col("text_sha256").alias("own_sha"), F.col("doc_id").alias("stay_id"))
+    answers, may_be = _found(docs, key, text, sha256, 1000, tables or Tables(docs.sparkSession))
+    found = answers.filter("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("own_name"), F.col("text_sha256").alias("own_sha"), F.col("doc_id").alias("stay_id"))
     raw = F.col(text).cast("string")
-    rows = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), sha256(lower_ascii(empty_if_null(raw))).alias("own_sha"))
-    rows = rows.withColumn("own_name", name(F.col("own_id"), F.col("own_sha")))
+    marked = docs.select(F.struct("*").alias("own_row"), F.col(key).cast("bigint").alias("own_id"), sha256(lower_ascii(empty_if_null(raw))).alias("own_sha")).withColumn("may_be", may_be(F.col("own_sha")))
+    rows = marked.filter("may_be").withColumn("own_name", name(F.col("own_id"), F.col("own_sha")))
     # Both the join and the grouping deal by name and digest, so whole rows are moved once: written as
     # a null-safe equality, the ids would be further keys of the join, and the grouping would move them again.
     same_id = F.coalesce(rows["own_id"] == found["stay_id"], rows["own_id"].isNull() & found["stay_id"].isNull())
     same = (rows["own_name"] == found["own_name"]) & (rows["own_sha"] == found["own_sha"]) & same_id
     joined = rows.join(found, same, "left_semi")
-    return joined.groupBy("own_name", "own_sha").agg(F.min_by("own_row", F.coalesce(F.col("own_row").getField(text).cast("string"), F.lit(""))).alias("own_row")).select("own_row.*")
+    several = joined.groupBy("own_name", "own_sha").agg(F.min_by("own_row", F.coalesce(F.col("own_row").getField(text).cast("string"), F.lit(""))).alias("own_row"))
+    return marked.filter(~F.col("may_be")).select("own_row.*").unionByName(several.select("own_row.*"))

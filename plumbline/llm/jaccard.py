@@ -570,9 +570,9 @@ def _placed(found: DataFrame, roots: DataFrame) -> DataFrame:
     return _with_component(own, roots)
 
 
-def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: Fraction = THRESHOLD, tables: Tables | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and node (the set's digest) of every row."""
-    tables = Tables(docs.sparkSession)
+    tables = tables or Tables(docs.sparkSession)
     found = tables.write(profiles(docs.select(key, text), key, text, k), "profiles")
     roots = connect(found, text, tables, k, threshold)
     placed = tables.write(_placed(found, roots), "placed")
@@ -582,10 +582,10 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     return placed.join(ids, "component", "left").select("doc_id", "n_shingles", apart.alias("component_id"), "node")
 
 
-def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", tables: Tables | None = None) -> DataFrame:
     """One row of each group of linked documents, with its own columns: that of the smallest id, null
     ids last; of rows that repeat this id one stays.  Documents without words are groups of their own."""
-    tables = Tables(docs.sparkSession)
+    tables = tables or Tables(docs.sparkSession)
     found = tables.write(profiles(docs, key, text), "profiles")
     roots = connect(found, text, tables)
     placed = tables.write(_placed(found, roots), "placed")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import SLICE_BYTES, slices, task_number, written
+from .common import SLICE_BYTES, Tables, slices, task_number
 
 END_ID = 2
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -73,6 +73,7 @@ def cut(tokens: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(pieces, PIECE + ", ids binary")
 
 
-def pack(docs: DataFrame, window: int = 4096, end_id: int = END_ID, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = 4096, end_id: int = END_ID, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, tables: Tables | None = None) -> DataFrame:
     """Boundary records of the packed sequences, each with the ids of its piece (little-endian, 32 bits)."""
-    return cut(written(encoded(docs, end_id, key, text, vocabulary), "tokens"), window)
+    tables = tables or Tables(docs.sparkSession)
+    return cut(tables.write(encoded(docs, end_id, key, text, vocabulary), "tokens"), window)

@@ -341,14 +341,14 @@ def span_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return found.select("doc_id", *(F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in KINDS), F.sha2(_listed(F.col("spans")).cast("binary"), 256).alias("base_sha256"), _listed(F.concat("spans", "added")).alias("spans"))
 
 
-def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None, tables: Tables | None = None) -> DataFrame:
     """The input's rows and columns, every span replaced by its kind in angle brackets; ``length``
     names a column that holds the text's number of characters.
 
     Rows are written beside their spans.  Only rows with an unseen identifier wait for what patterns claim
     and are joined with it; all others are never moved.
     """
-    tables = Tables(docs.sparkSession)
+    tables = tables or Tables(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("own_row"), F.monotonically_increasing_id().alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = tables.write(scan(packed, beside=("own_row",)), "rows-and-instances")
     claimed = score(found, tables)
