@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 #: What a context of each channel can carry; fixed values.
 CARRIED = {
     "sms": ("original", "body", "matches", "hostname", "url"), "custom": ("original", "body", "matches", "hostname", "url"), "url": ("original", "body", "matches", "hostname", "url"),
@@ -30,12 +32,12 @@ def closure(edges: DataFrame, within: list[str] | None = None) -> DataFrame:
     are cut with checkpoints in the shared folder.
     """
     keys = within or []
-    known = edges.select(*keys, "a", "b").distinct().checkpoint()
+    known = cut(edges.select(*keys, "a", "b").distinct())
     count = known.count()
     while True:
         ahead = known.select(*keys, F.col("a").alias("mid"), F.col("b").alias("far"))
         longer = known.withColumnRenamed("b", "mid").join(ahead, [*keys, "mid"]).select(*keys, "a", F.col("far").alias("b"))
-        known = known.unionByName(longer).distinct().checkpoint()
+        known = cut(known.unionByName(longer).distinct())
         before, count = count, known.count()
         if count == before:
             return known
@@ -45,15 +47,15 @@ def survivors(sets: DataFrame, edges: DataFrame) -> DataFrame:
     """set_id, rule, survives for every rule of some sets (set_id, rule); ``edges`` has a, which supersedes b."""
     own = sets.select("set_id", "rule").distinct()
     side = lambda c: own.select("set_id", F.col("rule").alias(c))
-    live = edges.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["set_id", "b"]).select("set_id", "a", "b").checkpoint()
+    live = cut(edges.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["set_id", "b"]).select("set_id", "a", "b"))
     cyclic = closure(live, ["set_id"]).filter("a = b").select("set_id", F.col("a").alias("rule"), F.lit(False).alias("decided"))
-    state = own.join(cyclic, ["set_id", "rule"], "left").select("set_id", "rule", F.col("decided").alias("survives")).checkpoint()
+    state = cut(own.join(cyclic, ["set_id", "rule"], "left").select("set_id", "rule", F.col("decided").alias("survives")))
     while True:
         # A claimant counts once it is decided: one that survives silences, and when all are silenced the rule survives.
         claims = live.join(state.select("set_id", F.col("rule").alias("a"), F.col("survives").alias("claimant")), ["set_id", "a"])
         told = claims.groupBy("set_id", F.col("b").alias("rule")).agg(F.max("claimant").alias("any"), F.count_if(F.col("claimant").isNull()).alias("open"))
         answer = F.when(F.col("survives").isNotNull(), F.col("survives")).when(F.col("any"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = state.join(told, ["set_id", "rule"], "left").select("set_id", "rule", answer.alias("survives")).checkpoint()
+        state = cut(state.join(told, ["set_id", "rule"], "left").select("set_id", "rule", answer.alias("survives")))
         if not state.filter("survives IS NULL").limit(1).count():
             return state
 

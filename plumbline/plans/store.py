@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import logs
+
 SORTS = {
     "desc": [("submitted_at", False)], "asc": [("submitted_at", True)],
     "most": [("report_count", False), ("submitted_at", False)], "least": [("report_count", True), ("submitted_at", False)],
@@ -57,6 +59,8 @@ def with_share(df: DataFrame, value: str, of: str | None = None) -> DataFrame:
 
 
 def match_counts(reports: DataFrame, identifier: str, order: str) -> DataFrame:
-    """Reports with how many share their identifier so far and in all."""
-    by = Window.partitionBy(identifier)
-    return reports.withColumn("nth", F.row_number().over(by.orderBy(order))).withColumn("report_count", F.count("*").over(by))
+    """Reports with how many share their identifier so far and in all; an identifier of any size is
+    numbered in ranges and counted before it is dealt."""
+    totals = reports.groupBy(F.col(identifier).alias("own_identifier")).agg(F.count("*").alias("report_count"))
+    rows = logs.numbered(reports, identifier, [order])
+    return rows.join(totals, F.col(identifier).eqNullSafe(F.col("own_identifier"))).drop("own_identifier")

@@ -1,8 +1,10 @@
 """Sliding-window rate limits and first-anchored duplicate filters, in batch and as streams.
 
-Both feed decisions back into state, so neither is a plain window count.  In batch, rows are dealt by
-key and sorted, and each task streams over its keys holding only the current key's last accepted
-times (at most the limit).  As streams, state is kept by key with a timeout.
+Both feed decisions back into state, so neither is a plain window count.  In batch, a key's log is cut where
+nothing happens for a window, which no decision looks across; the segments are dealt, not the keys, so
+a key with a third of all rows is decided in several tasks, and each task holds only the current segment's
+last accepted times (at most the limit).  A log without any such gap is one segment: its decisions hang
+together.  As streams, state is kept by key and goes when the watermark has passed its window.
 """
 
 from __future__ import annotations
@@ -16,23 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import logs
+
 WINDOW_SECONDS = 600
 
 
-def _dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+def _dealt(df: DataFrame, key: str, seconds: str, tie: str, window: float) -> DataFrame:
+    """Rows with their key's segment, segment by segment in order."""
+    return logs.segments(df, key, seconds, tie, window, "own_segment").repartition("own_segment").sortWithinPartitions("own_segment", seconds, tie)
 
 
 def rate_limited(df: DataFrame, key: str, seconds: str, tie: str, limit: int, window: int = WINDOW_SECONDS, name: str = "accepted") -> DataFrame:
     """Adds whether a row is accepted: fewer than ``limit`` accepted rows of its key in the window
     before it.  Rejected rows leave no trace.  ``seconds`` is a number, ``tie`` orders equal times."""
-    schema = T.StructType([*df.schema.fields]).add(name, "boolean")
+    schema = T.StructType([*df.schema.fields]).add("own_segment", "long").add(name, "boolean")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, taken = object(), deque()
         for batch in batches:
             out = []
-            for k, t in zip(batch.column(key).to_pylist(), batch.column(seconds).to_pylist()):
+            for k, t in zip(batch.column("own_segment").to_pylist(), batch.column(seconds).to_pylist()):
                 if k != current:
                     current = k
                     taken.clear()
@@ -43,18 +48,18 @@ def rate_limited(df: DataFrame, key: str, seconds: str, tie: str, limit: int, wi
                     taken.append(t)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, name])
 
-    return _dealt(df, [key], [seconds, tie]).mapInArrow(decide, schema)
+    return _dealt(df, key, seconds, tie, window).mapInArrow(decide, schema).drop("own_segment")
 
 
 def first_seen(df: DataFrame, key: str, seconds: str, tie: str, ttl: int = WINDOW_SECONDS, name: str = "duplicate") -> DataFrame:
     """Adds whether a row repeats a key first seen less than ``ttl`` before; a repeat does not renew it."""
-    schema = T.StructType([*df.schema.fields]).add(name, "boolean")
+    schema = T.StructType([*df.schema.fields]).add("own_segment", "long").add(name, "boolean")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, anchor = object(), None
         for batch in batches:
             out = []
-            for k, t in zip(batch.column(key).to_pylist(), batch.column(seconds).to_pylist()):
+            for k, t in zip(batch.column("own_segment").to_pylist(), batch.column(seconds).to_pylist()):
                 if k != current:
                     current, anchor = k, None
                 again = anchor is not None and t - anchor < ttl
@@ -63,13 +68,20 @@ def first_seen(df: DataFrame, key: str, seconds: str, tie: str, ttl: int = WINDO
                     anchor = t
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, name])
 
-    return _dealt(df, [key], [seconds, tie]).mapInArrow(decide, schema)
+    return _dealt(df, key, seconds, tie, ttl).mapInArrow(decide, schema).drop("own_segment")
 
 
 def rate_limited_stream(events: DataFrame, key: str, seconds: str, limit: int, window: int = WINDOW_SECONDS) -> DataFrame:
-    """The limiter over a stream: key, seconds, accepted.  State is the accepted times in the window."""
+    """The limiter over a stream: key, seconds, accepted.
+
+    State is the accepted times in the window; it goes once the watermark, a window behind the latest
+    event, has passed the last of them by a window.  Rows later than the watermark are left out.
+    """
 
     def decide(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         taken = list(state.get[0]) if state.exists else []
         rows = []
         for t in sorted(float(x) for f in frames for x in f[seconds]):
@@ -79,11 +91,27 @@ def rate_limited_stream(events: DataFrame, key: str, seconds: str, limit: int, w
                 taken.append(t)
             rows.append((k[0], t, ok))
         state.update((taken,))
+        if taken:
+            state.setTimeoutTimestamp(max(int((max(taken) + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[key, seconds, "accepted"])
 
     kind = events.schema[key].dataType.simpleString()
     output = f"{key} {kind}, {seconds} double, accepted boolean"
-    return events.groupBy(key).applyInPandasWithState(decide, output, "taken array<double>", "append", "NoTimeout")
+    timed = events.withColumn("own_ts", F.timestamp_seconds(seconds)).withWatermark("own_ts", f"{window} seconds")
+    return timed.groupBy(key).applyInPandasWithState(decide, output, "taken array<double>", "append", "EventTimeTimeout")
+
+
+def peeked(df: DataFrame, asked: DataFrame, key: str, seconds: str, limit: int, window: int = WINDOW_SECONDS, name: str = "allowed") -> DataFrame:
+    """Whether a hit at each time ``asked`` about would be accepted, with nothing recorded: ``df`` has the
+    accepted hits, of which each counts for the asks in the window behind it."""
+    # An ask meets the hits of its own and the earlier window-long bucket only.
+    bucket = lambda t: F.floor(t / window)
+    rows = asked.withColumn("own_ask", F.monotonically_increasing_id()).withColumn("own_bucket", F.explode(F.array(bucket(F.col(seconds)), bucket(F.col(seconds)) - 1)))
+    hits = df.select(F.col(key).alias("hit_key"), F.col(seconds).alias("hit_at"), bucket(F.col(seconds)).alias("hit_bucket"))
+    near = (F.col("hit_at") <= F.col(seconds)) & (F.col("hit_at") > F.col(seconds) - window)
+    met = rows.join(hits, (F.col(key) == F.col("hit_key")) & (F.col("own_bucket") == F.col("hit_bucket")), "left")
+    counted = met.groupBy("own_ask", *asked.columns).agg(F.count_if(near).alias("n"))
+    return counted.select(*asked.columns, (F.col("n") < limit).alias(name))
 
 
 def without_repeats_stream(events: DataFrame, key: str, ts: str, ttl: str = "10 minutes") -> DataFrame:
