@@ -161,6 +161,6 @@ def phone_countries(spark, sf_dir):
     return numbers.groupBy(C.calling_code(F.col("number"))["country"].alias("country")).agg(F.count("*").alias("n"))
 
 
-from . import query_mail, query_messages, query_more, query_prose, query_urls  # noqa: E402, F401
+from . import query_mail, query_messages, query_more, query_plans, query_prose, query_urls  # noqa: E402, F401
 
 SQL |= {"rate_limit_accepts": query_more.RATE_SQL, "ttl_dedupe": query_more.TTL_SQL}
