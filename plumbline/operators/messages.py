@@ -65,7 +65,7 @@ def signals(d: Spark, region: str | None) -> dict[str, str]:
         "winnings": word(r"\b(?:verify|verification)\b[^.]*\b(?:winnings|jackpot|prize)\b|\b(?:winnings|jackpot)\b[^.]*\bverif"), "recovered": word(r"\brecover(?:ed|y)\b[^.]*\bfunds?\b"), "release_fee": word(r"\brelease\s+fee\b|\bpay\b[^.]*\bfee\b"),
         "n_investment": many("investment"), "crypto": hit("crypto"), "authority": hit("authority"), "no_link_sender": hit("no_link_senders"), "unofficial_link": d.has(no_legit, r"https?://|\bwww\."), "outlandish": hit("foreign_authority"),
         "chat_app": word(r"\b(?:whatsapp|telegram)\b"), "add_us": word(r"\b(?:add|contact|message)\s+(?:us|me)\b"), "brand": hit("brands"), "glued": d.has(no_own, rf"https?://[^\s/]*(?:{brands})"),
-        "billed": word(r"\b(?:renewed|charged|billed|withdrawal\s+was\s+requested)\b"), "disown": word(r"\bif\s+you\s+did\s+not\b|\bnot\s+you\b"), "call": word(CALL), "phone": d.has("raw", CALLABLE), "call_us": word(r"\b(?:call|ring|phone)\s+(?:us|now|on)\b"),
+        "billed": word(r"\b(?:renewed|charged|billed|withdrawal\s+was\s+requested)\b"), "disown": word(r"\bif\s+you\s+did\s+not\b|\bnot\s+you\b"), "call": word(CALL), "phone": d.has("t", CALLABLE), "call_us": word(r"\b(?:call|ring|phone)\s+(?:us|now|on)\b"),
         "exchange": hit("exchanges"), "misspelt": hit("misspelt"), "platform": hit("platforms"), "reregister": hit("reregistration") + " OR " + word(r"\bre-register\s+your\s+identity\b"),
         "spliced": d.has("raw", r"[A-Za-z][\x{0370}-\x{04FF}]|[\x{0370}-\x{04FF}][A-Za-z]"), "n_foreign_letters": d.count("raw", r"[\x{0370}-\x{1FFF}\x{3040}-\x{9FFF}]"), "n_latin_letters": d.count("raw", r"[A-Za-z]"),
         "shortened": " OR ".join(f"link_host = '{h}'" for h in lexicon.SHORTENERS), "abused": d.has("link_host", r"\.(?:" + "|".join(lexicon.ABUSED_TLDS) + ")$"),
@@ -99,10 +99,26 @@ def rules(region: str | None, channel: str = "sms") -> list[MessageRule]:
     ]
 
 
+#: Look-alike letters, wide digits and marks, and what they stand for; fixed values.
+LOOK_ALIKES = ("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456" + "".join(chr(0xFF10 + i) for i in range(10)) + "\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201c\u201d", "aeopcyxi0123456789-----\u0001\u0001\u0002\u0002")
+#: What mail and message programs put before a text that is sent on.
+FORWARDING = r"^(?:\s*(?:-{2,}\s*(?:forwarded|original) message\s*-{2,}|begin forwarded message:|>+))+\s*"
+
+
+def readable(d: Spark, column: str) -> str:
+    """The folded text as a reader takes it: look-alikes as plain letters, blanks and marks of one kind, links
+    that were made harmless as they were, hosts without a last dot, nothing of a forward before it."""
+    t = f"translate({folded(d, column)}, '{LOOK_ALIKES[0]}', '{LOOK_ALIKES[1]}')"
+    t = f"translate({t}, concat(chr(1), chr(2)), concat(chr(39), chr(34)))"
+    t = d.replace(d.replace(t, r"hxxp(s?)(?:\[:\]|:)//", f"http{d.ref(1)}://"), r"\[[.]\]|\([.]\)", ".")
+    t = d.replace(t, r"(https?://[^\s/?#]*[^\s/?#.])[.]+([/?#]|\s|$)", d.ref(1) + d.ref(2))
+    return d.replace(d.replace(t, r"[ \t]{2,}", " "), FORWARDING, "")
+
+
 def steps(d: Spark, region: str | None, channel: str = "sms") -> list[list[str]]:
     """The projections, each a list of "expression AS name" beside all columns before: raw to evidence."""
     own = rules(region, channel)
-    t = folded(d, "raw")
+    t = readable(d, "raw")
     first = [f"{t} AS t"]
     clauses = d.pieces(d.replace("t", NEW_REQUEST, ". " + d.ref(1)), CLAUSE_END)
     clean = d.join(d.kept(clauses, "c", f"NOT {d.has('c', NEGATED)}"), ". ")

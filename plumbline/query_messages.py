@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -264,28 +265,78 @@ def eval_misses(spark, sf_dir):
 
 
 #: Transforms that must not change a score, or not weaken it: name, equal, expression over text in each dialect.
-def _transforms(d) -> list[tuple[str, bool, str]]:
-    wide = "'０１２３４５６７８９'"
-    return [
-        ("whitespace", True, d.replace("text", "[ ]{2,}", " ")), ("host-case", True, d.replace("text", "https://", "HTTPS://")), ("tracking", True, d.replace("text", r"(https?://[^\s?]+)/pay\b", {"Spark": "$1/pay?utm_source=x", "Duck": r"\1/pay?utm_source=x"}[type(d).__name__])),
-        ("zero-width", False, d.replace("text", "re", "re​")), ("fullwidth-digits", False, f"translate(text, '{chr(0xFF11)}', '1')"), ("accents", False, "translate(text, 'ou', 'óú')"), ("benign-padding", False, "concat(text, ' See you soon, and thank you for everything.')"),
-        ("forwarded", False, "concat(text, ' Forwarded message follows')"), ("quotes", False, "translate(text, '-', '-')"),
-    ]
+def _transforms(d, c: str = "text") -> dict[str, tuple[bool, str]]:
+    """name -> whether the score must stay the same (else: must not fall), and the rewritten text."""
+    wide, digits = "".join(chr(0xFF10 + i) for i in range(10)), "0123456789"
+    ref = d.ref
+    return {
+        "phone-e164": (True, d.replace(c, r"[+]([0-9]) [(]([0-9]{3})[)] ([0-9]{3})-([0-9]{4})", f"+{ref(1)}{ref(2)}{ref(3)}{ref(4)}")), "phone-spacing": (True, d.replace(c, r"[+]([0-9]) [(]([0-9]{3})[)] ", f"+{ref(1)} {ref(2)} ")),
+        "host-case": (True, d.replace(c, "https://", "HTTPS://")), "host-trailing-dot": (True, d.replace(c, r"(https?://[^\s/]+)/", f"{ref(1)}./")), "tracking-parameters": (True, d.replace(c, r"(https?://[^\s?]+)/pay\b", f"{ref(1)}/pay?utm_source=x")),
+        "whitespace": (True, d.replace(c, " ", "  ")), "defanged": (True, d.replace(d.replace(c, "http(s?)://", f"hxxp{ref(1)}://"), r"[.](com|top|xyz|click)\b", f"[.]{ref(1)}")),
+        "zero-width": (False, d.replace(c, "re", "re\u200b")), "homoglyphs": (False, f"translate({c}, 'ao', '\u0430\u043e')"), "fullwidth-digits": (False, f"translate({c}, '{digits}', '{wide}')"),
+        "benign-padding": (False, f"concat({c}, ' See you soon, and thank you for everything.')"), "forwarded-prefix": (False, f"concat('---------- Forwarded message ---------', chr(10), {c})"), "quoted-reply": (False, f"concat('> ', {c})"),
+        "punctuation": (False, f"translate({c}, concat('-', chr(39)), '\u2010\u2019')"),
+    }
+
+
+def _stacks(count: int = 6, seed: int = 20) -> dict[str, tuple[str, ...]]:
+    """Some transforms one upon another, drawn once and for all: two to four different ones in any order."""
+    draw, names, found = random.Random(seed), list(_transforms(SPARK)), {}
+    while len(found) < count:
+        own = tuple(draw.sample(names, draw.randrange(2, 5)))
+        if frozenset(own) not in {frozenset(x) for x in found.values()}:
+            found["+".join(own)] = own
+    return found
+
+
+def _stacked(d) -> dict[str, tuple[bool, str]]:
+    """A stack keeps the score only if all of its transforms do."""
+    out = {}
+    for name, own in _stacks().items():
+        text, equal = "text", True
+        for step in own:
+            same, text = _transforms(d, text)[step]
+            equal = equal and same
+        out[name] = (equal, text)
+    return out
+
+
+def _rewritten_sql(relations: dict[str, tuple[bool, str]]) -> str:
+    return f"WITH {MESSAGES}, tr AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{n}' AS relation, {str(eq).upper()} AS equal_to, {x} AS text FROM msgs" for n, (eq, x) in relations.items()) + f"), {M.scored_sql(DUCK, 'msgs')}, {M.scored_sql(DUCK, 'tr', 'text', None, 'sms', 'after')}"
+
+
+_BROKEN = "CASE WHEN a.equal_to THEN a.score <> b.score ELSE a.score < b.score END"
+_COUNTS = f"SELECT a.relation, a.equal_to, count(*) AS checked, count(*) FILTER (WHERE a.text <> b.text) AS applied, count(*) FILTER (WHERE {_BROKEN}) AS violations FROM after a JOIN scored b USING (conv_id, turn) GROUP BY ALL"
+
 
+def _rewritten(spark, sf_dir, relations: dict[str, tuple[bool, str]]) -> DataFrame:
+    """Every message rewritten in each way, with its score before and after and whether the relation is broken."""
+    base = M.scored(_messages(spark, sf_dir)).select("conv_id", "turn", "text", F.col("score").alias("was"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("relation"), F.lit(eq).alias("equal_to"), F.expr(x).alias("text")) for n, (eq, x) in relations.items()))).alias("r")
+    after = M.scored(base.select("conv_id", "turn", "was", F.col("text").alias("before"), each).select("conv_id", "turn", "was", "before", "r.relation", "r.equal_to", "r.text"))
+    return after.withColumn("broken", F.when(F.col("equal_to"), F.col("score") != F.col("was")).otherwise(F.col("score") < F.col("was")))
 
-_META = f"WITH {MESSAGES}, tr AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{n}' AS relation, {str(eq).upper()} AS equal_to, {x} AS text FROM msgs" for n, eq, x in _transforms(DUCK)) + f"), {M.scored_sql(DUCK, 'msgs')}, {M.scored_sql(DUCK, 'tr', 'text', None, 'sms', 'after')}"
 
+def _relation_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("relation", "equal_to").agg(F.count("*").alias("checked"), F.count_if(F.col("text") != F.col("before")).alias("applied"), F.count_if("broken").alias("violations"))
 
-@query(f"""{_META} SELECT a.relation, a.equal_to, count(*) AS checked, count(*) FILTER (WHERE a.text <> b.text) AS applied, count(*) FILTER (WHERE CASE WHEN a.equal_to THEN a.score <> b.score ELSE a.score < b.score END) AS violations
-FROM after a JOIN scored b USING (conv_id, turn) GROUP BY ALL""")
+
+@query(f"{_rewritten_sql(_transforms(DUCK))} {_COUNTS}")
 def metamorphic_relations(spark, sf_dir):
     """Texts rewritten in ways that should keep, or not weaken, their score."""
-    base = _messages(spark, sf_dir)
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("relation"), F.lit(eq).alias("equal_to"), F.expr(x).alias("text")) for n, eq, x in _transforms(SPARK)))).alias("r")
-    after = M.scored(base.select("conv_id", "turn", F.col("text").alias("before"), each).select("conv_id", "turn", "before", "r.relation", "r.equal_to", "r.text"))
-    before = M.scored(base).select("conv_id", "turn", F.col("score").alias("was"))
-    bad = F.when(F.col("equal_to"), F.col("score") != F.col("was")).otherwise(F.col("score") < F.col("was"))
-    return after.join(before, ["conv_id", "turn"]).groupBy("relation", "equal_to").agg(F.count("*").alias("checked"), F.count_if(F.col("text") != F.col("before")).alias("applied"), F.count_if(bad).alias("violations"))
+    return _relation_counts(_rewritten(spark, sf_dir, _transforms(SPARK)))
+
+
+@query(f"{_rewritten_sql(_transforms(DUCK))} SELECT conv_id, turn, a.relation, b.score AS was, a.score AS score FROM after a JOIN scored b USING (conv_id, turn) WHERE {_BROKEN}")
+def metamorphic_violations(spark, sf_dir):
+    """The messages for which a relation does not hold."""
+    return _rewritten(spark, sf_dir, _transforms(SPARK)).filter("broken").select("conv_id", "turn", "relation", "was", "score")
+
+
+@query(f"{_rewritten_sql(_stacked(DUCK))} {_COUNTS}")
+def composite_relations(spark, sf_dir):
+    """Stacks of rewritings, held to the weakest of their relations."""
+    return _relation_counts(_rewritten(spark, sf_dir, _stacked(SPARK)))
 
 
 _PROBES = ("AU", "GB", "US", "DE", "ZZ")

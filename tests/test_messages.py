@@ -96,3 +96,19 @@ def test_filters_do_not_blow_up_plans(spark):
     df = spark.createDataFrame([("urgent, act now",)], "text string")
     out = M.scored(df).filter("evidence <> '' AND verdict <> 'safe'").filter(F.col("score") > 5)
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 400_000 and out.count() == 1
+
+
+def test_every_rewriting_changes_rows_and_holds(spark):
+    from plumbline import query_messages as Q
+
+    for query in (Q.metamorphic_relations, Q.composite_relations):
+        rows = query(spark, "/root/testdata/sf0.01").collect()
+        assert all(r["applied"] > 0 and r["violations"] == 0 for r in rows), rows
+    assert len(Q._transforms(SPARK)) == 14 and len(Q._stacks()) == 6
+
+
+def test_packs_add_and_never_take_away(spark):
+    from plumbline import query_messages as Q
+
+    rows = {r["region"]: r for r in Q.region_monotonicity(spark, "/root/testdata/sf0.01").collect()}
+    assert all(r["weaker"] == 0 for r in rows.values()) and rows["AU"]["stronger"] > 0
