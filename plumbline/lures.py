@@ -67,7 +67,7 @@ URLS = (
     "https://shop.web.app/a?redirect=https://evil.example", "https://xn--pypal-4ve.com/", "https://a-b-c-d.example.com/", "https://a.b.c.d.e.example.co.uk/x", "https://ato.refund-help.com.au/a",
     "https://auspost.com.au/track?utm_source=x&id=9", "https://www.auspost.com.au./", "not a link", "https:///nohost", "https://amazpn.com/gp", "https://netfilx.com/", "https://nnetflix.com/a",
     "https://id.example.org/oauth2/authorize?client_id=1", "https://accounts.google.com/o/oauth2/authorize?x=1", "https://foo.www.ck/", "https://www.ck/", "https://x.y.ck/a", "https://city.kawasaki.jp/", "https://a.b.kawasaki.jp/",
-    "HTTPS://User:pw@Sub.Example.COM.:8443/a//b?fbclid=1&x=2#f", "https://example.github.io/", "https://ups-parcel.click/" + "a" * 200, "https://blog.blogspot.com/x", "https://facebook.com.evil.top/signin", "https://my.gov.au/",
+    "HTTPS://User:pw@Sub.Example.COM.:8443/a//b?fbclid=1&x=2#f", "https://example.github.io/", "https://ups-parcel.click/" + "a" * 200, "https://blog.blogspot.com/x", "https://facebook.com.evil.top/signin", "https://my.gov.au/", "https://p\u0430ypal.com/login", "https://m\u00fcnchen-bank.de/",
 )
 
 NUMBERS = (

@@ -73,7 +73,8 @@ def signals(d: Spark, region: str | None) -> dict[str, str]:
 
 
 def rules(region: str | None, channel: str = "sms") -> list[MessageRule]:
-    """The rules over signals; ``callback`` silences two weaker ones."""
+    """The rules over signals; ``callback`` silences two weaker ones.  In mail, where a message's points
+    count for less, these composites keep their full weight."""
     flags = lexicon.pack(region)["flags"]
     on = lambda flag: "TRUE" if flag in flags else "FALSE"
     R = MessageRule
@@ -90,11 +91,11 @@ def rules(region: str | None, channel: str = "sms") -> list[MessageRule]:
         R("reply_trick", "reply_trick", "25"), R("qr", "qr", "20"), R("voicemail", "voicemail", "20"),
         R("run_dialog", "run_dialog AND paste", "50", full=True), R("terminal", "terminal AND paste AND NOT run_dialog", "50", full=True),
         R("unverified_sender", f"{on('unverified_sender')} AND unverified", "35"), R("jobs", "n_jobs >= 2", "25"), R("task_payment", "tasks AND unlock", "40", full=True),
-        R("code_harvest", "code_ask", "45"), R("chat_status", "chat_status", "30"), R("winnings", "winnings", "40"), R("recovered_funds", "recovered AND release_fee", "35"),
+        R("code_harvest", "code_ask", "45"), R("chat_status", "chat_status", "30", full=channel == "email"), R("winnings", "winnings", "40"), R("recovered_funds", "recovered AND release_fee", "35"),
         R("investment", "n_investment >= 2 OR (n_investment >= 1 AND crypto)", "30"), R("authority", "authority AND (NOT link OR unofficial_link)", "0", deferred=25),
         R("no_link_sender", "authority AND no_link_sender AND link AND unofficial_link", "15"), R("authority_in_chat", f"{on('chat_authority')} AND authority AND chat_app AND add_us", "30"),
         R("foreign_authority", "outlandish", "35"), R("brand_glued", "brand AND glued", "20"), R("brand", "brand AND NOT glued", "0", deferred=20),
-        R("callback", callback, "30"), R("asks_to_call", f"call_us AND phone AND NOT ({callback})", "20"), R("exchange_call", f"exchange AND phone AND call AND NOT link AND NOT ({callback})", "30"),
+        R("callback", callback, "30", full=channel == "email"), R("asks_to_call", f"call_us AND phone AND NOT ({callback})", "20"), R("exchange_call", f"exchange AND phone AND call AND NOT link AND NOT ({callback})", "30"),
         R("misspelt", "misspelt", "10"), R("fake_platform", "platform", "50"), R("reregistration", "reregister", "25"),
     ]
 

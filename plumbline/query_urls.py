@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import lexicon, lures
 from .dialect import DUCK, SPARK, Spark
 from .functions import url as U
+from .functions import web_address
 from .registry import query, quoted, rows_sql, table
 
 N = len(lures.URLS)
@@ -65,7 +66,7 @@ def _points(d: Spark) -> list[tuple[str, str]]:
     brands = " + ".join(f"CASE WHEN host LIKE '%{b}%' AND label <> '{b}' THEN 45 ELSE 0 END" for b in lexicon.BRANDS)
     words = " + ".join(f"CASE WHEN {d.has('label', '(?:^|-)' + b + '(?:-|$)')} AND label <> '{b}' THEN 45 ELSE 0 END" for b in lexicon.WORD_BRANDS)
     typos = sorted({t for b in lexicon.BRANDS if len(b) >= 6 for t in U.typos(b)})
-    puny, mixed = "(host LIKE 'xn--%' OR host LIKE '%.xn--%')", d.has("typed", "[^ -~]") + " AND " + d.has("typed", "[A-Za-z]")
+    puny, mixed = "(host LIKE 'xn--%' OR host LIKE '%.xn--%')", d.has("typed", web_address.MIXED)
     return [
         ("blocklist", when("blocked", 70)), ("shortener", when(under(lexicon.SHORTENERS), 40)), ("tld", when(d.has("host", r"\.(?:" + "|".join(lexicon.ABUSED_TLDS) + ")$"), 30)), ("ip_host", when(d.has("host", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), 35)),
         ("ipfs", when(under(lexicon.IPFS_GATEWAYS) + " OR " + d.has("url", "/ipfs/[A-Za-z0-9]{20,}"), 40)), ("hosting", "CASE " + " ".join(f"WHEN host LIKE '%.{h}' THEN {p}" for h, p in lexicon.HOSTING.items()) + " ELSE 0 END"),
@@ -164,3 +165,20 @@ def url_expansion(spark, sf_dir):
         hop = r.select(F.col("src").alias(f"s{i}"), F.col("dst").alias(f"d{i}"))
         out = out.join(hop, F.col(before) == F.col(f"s{i}"), "left")
     return out.select("page_id", "host", F.coalesce("d3", "d2", "d1", "host").alias("destination"), sum(F.col(f"d{i}").isNotNull().cast("int") for i in (1, 2, 3)).alias("hops"))
+
+
+#: Addresses written in ways that hide their host, and some that have none.
+ODD_ADDRESSES = (
+    "https://p\u0430ypal.com/login", "https://%70aypal-help.top//a//b", "http:\\\\evil.top\\x", "https:/one.example", "https://user@good.example@evil.top/x", "HTTPS://EXAMPLE.com.:443/", "http://0x7f.1/", "http://2130706433", "http://256.1.1.1/", "https://xn--pypal-4ve.com",
+    "https://xn--\u00e4/", "https://m\u00fcnchen-bank-login.de/a", "https://a..b/", "https://exa mple.com/", "https://x.com:99999/", "x.com:8443/p", "", "https://[::1]/a", "ftp.example.com", "https://a_b.example/{x}|y", "http", "https://1.2.3/", "https://0300.0250.1.1/",
+)
+
+
+@query()
+def web_addresses(spark, sf_dir):
+    """Every link of the pages, and one odd address beside each page, taken apart; tested against a plain parser."""
+    pages = table(spark, sf_dir, "pages")
+    odd = F.get(F.array(*map(F.lit, ODD_ADDRESSES)), F.pmod("page_id", F.lit(len(ODD_ADDRESSES))).cast("int"))
+    found = F.concat(F.array("url", odd), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+    each = pages.select("page_id", F.posexplode(found).alias("nth", "link"))
+    return web_address.parsed(each, "link").withColumn("hyphens", web_address.shown_hyphens(F.col("link"))).withColumn("mixed", web_address.mixes_scripts(F.col("link")))

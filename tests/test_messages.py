@@ -65,6 +65,13 @@ def test_every_rule_fires_on_some_built_message(spark):
     assert fired == {r.rule_id for r in M.rules("AU")}
 
 
+def test_composites_keep_their_weight_in_mail(spark):
+    texts = ["Your WhatsApp account will be banned", "Payment of $220.00 has been charged. If you did not authorise this, call 1300 655 505", "urgent"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    full = {c: [r["full_points"] for r in M.scored(df, "text", None, c).orderBy("id").collect()] for c in ("email", "sms")}
+    assert full == {"email": [30, 30, 0], "sms": [0, 0, 0]}
+
+
 def test_columns_of_any_name_stay(spark):
     df = spark.createDataFrame([("urgent", 1, 2, "x")], "text string, amount int, t int, raw string")
     row = M.scored(df).first()
