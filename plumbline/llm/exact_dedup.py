@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,11 +104,11 @@ def hit_filter(hits: DataFrame) -> Callable[[Column], Column]:
         bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bits.tobytes())
 
-    @F.pandas_udf("boolean")
-    def may_be(first: pd.Series, second: pd.Series) -> pd.Series:
-        at = _probes(first.to_numpy(np.int64), second.to_numpy(np.int64))
+    @F.arrow_udf("boolean")
+    def may_be(first: pa.Array, second: pa.Array) -> pa.Array:
+        at = _probes(np.asarray(first), np.asarray(second))
         known = np.frombuffer(shared.value, np.uint8)
-        return pd.Series((known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(1))
+        return pa.array((known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(1))
 
     return lambda digest: may_be(*hashes(digest))
 
