@@ -134,17 +134,22 @@ def proofs(docs: DataFrame, tables: Tables, fields: tuple[str, ...] = FIELDS, gr
     plain = leaf([own[c] for c in fields])
     other = plain if changed is None else F.when(F.coalesce(changed, F.lit(False)), leaf([(changes or {}).get(c, own[c]) for c in fields])).otherwise(plain)
     rows = docs.select(group_key(F.col(group)).alias("grp"), F.col(key).cast("bigint").alias("key"), plain.alias("digest"), other.alias("checked"), F.lit(1).cast("bigint").alias("one"))
-    placed = prefix_sums(rows, ["grp", "key", "digest"], "one", "idx", within="grp", total="n", tables=tables)
+    steps = Tables(docs.sparkSession)
+    placed = prefix_sums(rows, ["grp", "key", "digest"], "one", "idx", within="grp", total="n", tables=steps)
     leaves = tables.write(placed.drop("one"), "leaves")
+    steps.close()
     trees = build(leaves, tables)
-    numbered = prefix_sums(trees.tops.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest", F.col("height").alias("own_height"), F.lit(1).cast("bigint").alias("one")), ["grp", "name"], "one", "idx", within="grp", total="n", tables=tables)
-    groups = tables.write(numbered.drop("one"), "groups")
-    crown = build(groups, tables)
+    numbered = prefix_sums(trees.tops.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest", F.col("height").alias("own_height"), F.lit(1).cast("bigint").alias("one")), ["grp", "name"], "one", "idx", within="grp", total="n", tables=steps)
+    groups = steps.write(numbered.drop("one"), "groups")
+    crown = build(groups, steps)
     top = crown.tops.select("digest").first()
     root = F.lit(bytes(top[0]) if top else None).cast("binary")
     start = crown.tops.select("grp", "height", F.array().cast(PATH).alias("path"))
-    above = paths(crown, groups, start, [], tables).select(F.col("name").alias("grp"), F.col("own_height").alias("height"), "path", F.col("digest").alias("subroot"))
-    found = paths(trees, leaves, tables.write(above, "above"), ["subroot"], tables)
+    above = paths(crown, groups, start, [], steps).select(F.col("name").alias("grp"), F.col("own_height").alias("height"), "path", F.col("digest").alias("subroot"))
+    above = tables.write(above, "above")
+    steps.close()
+    tables.drop(trees.tops)
+    found = paths(trees, leaves, above, ["subroot"], tables)
     return found.select("key", F.col("digest").alias("leaf"), "checked", "subroot", root.alias("root"), "path")
 
 

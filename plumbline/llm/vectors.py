@@ -334,6 +334,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     ids = placed.filter("ball IS NOT NULL").groupBy("ball").agg(F.min("id").alias("least")).join(each, "ball")
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     each = tables.write(ids.drop("least").join(least, "root").drop("root"), "per-ball")
+    tables.drop(size, judged, roots)
     counted = some.groupBy("node").agg(F.sum("links").alias("own_links"))
     out = placed.join(each, "ball", "left").join(counted, "node", "left")
     component = F.when(F.col("ball").isNull(), F.col("id")).otherwise(F.col("component_id"))
