@@ -116,16 +116,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     """The same rows in pieces of few text bytes each; a longer text makes a piece of its own."""
     import pyarrow.compute as pc
 
-    for batch in batches:
-        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64) for c in (column, *more)).tolist()
-        start, held = 0, 0
-        for i, n in enumerate(sizes):
-            if i > start and held + n > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += n
-        if batch.num_rows > start:
-            yield batch.slice(start)
+    try:
+        for batch in batches:
+            sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64) for c in (column, *more)).tolist()
+            start, held = 0, 0
+            for i, n in enumerate(sizes):
+                if i > start and held + n > limit:
+                    yield batch.slice(start, i - start)
+                    start, held = i, 0
+                held += n
+            if batch.num_rows > start:
+                yield batch.slice(start)
+    finally:
+        # Python workers outlive their tasks: what Arrow has freed goes back, not into the next task's way.
+        pa.default_memory_pool().release_unused()
 
 
 def task_number() -> int:
