@@ -119,3 +119,25 @@ def test_packs_add_and_never_take_away(spark):
 
     rows = {r["region"]: r for r in Q.region_monotonicity(spark, "/root/testdata/sf0.01").collect()}
     assert all(r["weaker"] == 0 for r in rows.values()) and rows["AU"]["stronger"] > 0
+
+
+def test_messages_are_dealt_over_tasks(spark):
+    """The table is one row group, so without dealing one task would read all texts."""
+    from plumbline import query_messages as Q
+
+    rows = Q._messages(spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(rows) >= 4 and max(r["count"] for r in rows) < 536 / 2
+
+
+def test_rewritten_texts_score_as_texts_of_their_own(spark):
+    """Signals taken from the row's own text are those that a search would find."""
+    from plumbline import query_messages as Q
+
+    texts = [t for _, t in lures.MESSAGES] + ["", None, "urgеnt, act now" + "ж" * 40, "  a  b ", "áct now, re-re https://a.com/pay?x +1 (803) 555-0142", "> hxxp://b[.]top/"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    ways = Q._transforms(SPARK) | Q._stacked(SPARK) | {"another": (False, "concat('Lottery: act now, send your password ', coalesce(text, ''))"), "none": (False, "CAST(NULL AS STRING)"), "Cyrillic": (True, "translate(text, 'a', 'а')")}
+    got = {(r["id"], r["relation"]): (r["equal_to"], r["before"], r["text"], r["was"], r["score"]) for r in M.rewritten(df, ways, ("id",)).collect()}
+    plain = df.select("id", F.col("text").alias("before"), F.explode(F.array(*(F.struct(F.lit(n).alias("relation"), F.lit(eq).alias("equal_to"), F.expr(x).alias("text")) for n, (eq, x) in ways.items()))).alias("r"))
+    own = {r["id"]: r["score"] for r in M.scored(df).collect()}
+    want = {(r["id"], r["relation"]): (r["equal_to"], r["before"], r["text"], own[r["id"]], r["score"]) for r in M.scored(plain.select("id", "before", "r.*")).collect()}
+    assert got == want and len(got) == len(texts) * len(ways)
