@@ -74,6 +74,16 @@ def flips(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
     return now.join(old, keys).filter(F.col("was_right") & ~F.col("right")).drop("was_right")
 
 
+def flips_beside(cases: DataFrame, keys: list[str], before: Column) -> DataFrame:
+    """As ``flips``, where one table holds both scorers' cases and ``before`` tells the older: only rows that may
+    be a flip are moved, once, and a key's rows are set beside one another without a second reading of the texts."""
+    may = F.when(before, F.col("right")).otherwise(~F.col("right"))
+    rows = cases.filter(may).filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(*keys, before.alias("older"), "predicted")
+    listed = lambda own: F.collect_list(F.when(own, F.col("predicted")))
+    found = rows.groupBy(*keys).agg(listed(F.col("older")).alias("old"), listed(~F.col("older")).alias("now"))
+    return found.select(*keys, F.explode("old").alias("was"), "now").select(*keys, "was", F.explode("now").alias("predicted"))
+
+
 def breaches(figures: DataFrame, limits: tuple[tuple[str, float, bool], ...]) -> DataFrame:
     """metric, value, outcome: held, breached, or inconclusive where the limit lies within the interval."""
     parts = {"recall": ("tp", "fn"), "fpr": ("fp", "tn"), "precision": ("tp", "fp")}

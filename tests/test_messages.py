@@ -141,3 +141,42 @@ def test_rewritten_texts_score_as_texts_of_their_own(spark):
     own = {r["id"]: r["score"] for r in M.scored(df).collect()}
     want = {(r["id"], r["relation"]): (r["equal_to"], r["before"], r["text"], own[r["id"]], r["score"]) for r in M.scored(plain.select("id", "before", "r.*")).collect()}
     assert got == want and len(got) == len(texts) * len(ways)
+
+
+def test_regions_scored_at_once_equal_regions_scored_alone(spark):
+    texts = [t for _, t in lures.MESSAGES] + ["", None, "ж" * 40 + " urgеnt", "HMRC officer: add us on WhatsApp, urgent https://a.com", "unverified sender: Royal Mail, https://auspost.com.au/t call us on 13 24 61"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    regions, columns = ("AU", "GB", "US", "DE", "ZZ"), ("id", "score", "base", "full_points", "pending", "evidence", "verdict", "coverage")
+    got = {(r["region"], r["id"]): tuple(r[c] for c in columns) for r in M.scored_by_region(df, regions).collect()}
+    want = {(region, r["id"]): tuple(r[c] for c in columns) for region in regions for r in M.scored(df, "text", region).collect()}
+    assert got == want and len(got) == len(texts) * len(regions)
+
+
+def test_signals_that_no_rule_looks_at_change_nothing(spark):
+    """Rules over all signals, searched for in every text, give the same scores as rules over the needed ones."""
+    texts = [a + ". " + b for _, a in lures.MESSAGES for _, b in lures.MESSAGES[::5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, raw string")
+    for region in ("AU", "GB"):
+        found = M.signals(SPARK, region)
+        every = [{k: f"({v})" for k, v in found.items() if k not in M.LATE}, {k: f"({found[k]})" for k in M.LATE}]
+        whole = df.selectExpr("*", M.readable(SPARK, "raw") + " AS t").selectExpr("*", M.clean_clauses(SPARK) + " AS s")
+        for layer in [M._listed(f) for f in every] + M.weighing(SPARK, M.rules(region), "TRUE"):
+            whole = whole.selectExpr("*", *layer)
+        assert M.scored(df, "raw", region).select("id", "score", "evidence", "verdict").exceptAll(whole.select("id", "score", "evidence", "verdict")).count() == 0
+
+
+def test_regions_and_flips_read_the_texts_once(spark):
+    from plumbline import query_messages as Q
+
+    for query in (Q.region_monotonicity, Q.eval_flips):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1
+
+
+def test_flips_beside_one_another_equal_joined_flips(spark):
+    from plumbline.plans import evaluation as E
+
+    rows = [(1, "a", "x", True), (1, "b", "y", False), (2, "a", "x", True), (2, "b", "x", True), (3, "a", "x", False), (3, "b", "y", False), (4, "a", "x", True), (4, "a", "z", True), (4, "b", "y", False), (4, "b", "y", False), (None, "a", "x", True), (None, "b", "y", False)]
+    df = spark.createDataFrame(rows, "k int, scorer string, predicted string, right boolean")
+    want = E.flips(df.filter("scorer = 'b'"), df.filter("scorer = 'a'"), ["k"]).select("k", "was", "predicted").collect()
+    assert sorted(E.flips_beside(df, ["k"], F.col("scorer") == "a").collect()) == sorted(want) and len(want) == 5
