@@ -14,7 +14,12 @@ BLANK_LINE = r"\r?\n\r?\n"
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def bound(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def head_and_body(raw: Column) -> Column:
@@ -60,21 +65,21 @@ def from_quoted_printable(body: Column) -> Column:
 def from_base64(body: Column) -> Column:
     """Decoded text; a body that was cut within a group of four counts up to the last whole group,
     and a body that is no base64 stays as it is."""
-    clean = F.regexp_replace(body, r"\s+", "")
+    def valid(core: Column) -> Column:
+        whole = F.concat(core, F.repeat(F.lit("="), F.pmod(-F.length(core), F.lit(4))))
+        return F.when(core.rlike(r"\A[A-Za-z0-9+/]*\z") & (F.length(core) % 4 != 1), _as_text(F.unbase64(whole)))
 
     def decoded(code: Column) -> Column:
-        whole = F.length(code) % 4 == 0
-        core = F.when(whole, F.regexp_replace(code, "={1,2}$", "")).otherwise(code)
-        valid = core.rlike(r"\A[A-Za-z0-9+/]*\z") & (F.length(core) % 4 != 1)
-        return F.when(valid, _as_text(F.unbase64(F.concat(core, F.repeat(F.lit("="), F.pmod(-F.length(core), F.lit(4)))))))
+        return bound(F.when(F.length(code) % 4 == 0, F.regexp_replace(code, "={1,2}$", "")).otherwise(code), valid)
 
-    return F.coalesce(decoded(clean), decoded(F.substring(clean, F.lit(1), F.length(clean) - F.length(clean) % 4)), body)
+    clean = F.regexp_replace(body, r"\s+", "")
+    return F.coalesce(bound(clean, lambda c: F.coalesce(decoded(c), decoded(F.substring(c, F.lit(1), F.length(c) - F.length(c) % 4)))), body)
 
 
 def decoded(body: Column, encoding: Column) -> Column:
     """A part's text by its transfer encoding; unknown encodings leave it as it is."""
-    kind = F.lower(trimmed(encoding))
-    return F.when(kind == "quoted-printable", from_quoted_printable(body)).when(kind == "base64", from_base64(body)).otherwise(body)
+    by = lambda kind: F.when(kind == "quoted-printable", from_quoted_printable(body)).when(kind == "base64", from_base64(body)).otherwise(body)
+    return bound(F.lower(trimmed(encoding)), by)
 
 
 def filename(head: Column) -> Column:

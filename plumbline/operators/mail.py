@@ -1,8 +1,8 @@
 """Mails as rows: the tree of parts, what of it arrived, the texts, and the original of a forward.
 
-A level of the tree is one step: nodes that hold other parts are exploded into them, leaves go on as
-they are.  Ten steps follow one another without a shuffle, so a mail's parts stay in the task that
-read it.  A node below the tenth level is a row of its own, marked as too deep; nothing is lost in silence.
+A level of the tree is one step: nodes that hold other parts become them, as rows in ``parts`` and within
+an array of the mail's row in ``texts``, and leaves go on as they are.  The steps follow one another without
+a shuffle, so a mail's parts stay in the task that read it.  A node below the tenth level is a row of its own, marked as too deep; nothing is lost in silence.
 
 Two ways to cut a container differ as readers do.  ``parts`` lists what a mail holds, stops at the closing
 delimiter, looks into attached mails and says of each leaf whether it arrived whole.  ``texts`` takes
@@ -41,14 +41,7 @@ def _listed(pieces: Column, cut: Column, path: Column) -> Column:
     return F.transform(F.filter(F.transform(parts, child), lambda n: n["raw"].rlike(r"\S") | n["cut"]), lambda n: _node(n["path"], n["raw"], n["cut"], ~n["raw"].rlike(r"\S")))
 
 
-def _read(pieces: Column, path: Column) -> Column:
-    """Children of a container for reading: all segments with something in them."""
-    clean = lambda s: F.regexp_replace(F.regexp_replace(s, r"\A\r?\n", ""), r"\r?\n--\s*\z", "")
-    nodes = F.transform(pieces, lambda s, i: _node(F.concat(path, F.array(i + 1)), clean(s), F.lit(False), F.lit(False)))
-    return F.filter(nodes, lambda n: n["raw"].rlike(r"\S") & (mime.trimmed(n["raw"]) != "--"))
-
-
-def _level(df: DataFrame, keys: list[str], listed: bool) -> DataFrame:
+def _level(df: DataFrame, keys: list[str]) -> DataFrame:
     """One step down: containers become their parts; a container without any leaves a row without a path."""
     open_ = ~F.coalesce(F.col("node.leaf"), F.lit(True))
     df = df.withColumn("cuts", F.when(open_, mime.head_and_body(F.col("node.raw"))))
@@ -58,20 +51,18 @@ def _level(df: DataFrame, keys: list[str], listed: bool) -> DataFrame:
     path, cut = F.col("node.path"), F.col("node.cut")
     pieces = mime.segments(F.col("body"), F.col("mark"))
     own = F.array(_node(path, F.col("node.raw"), cut, F.lit(True)))
-    within = F.when(F.col("mark") != "", _listed(pieces, cut, path) if listed else _read(pieces, path))
-    if listed:
-        attached = mime.trimmed(F.split("kind", ";")[0]) == "message/rfc822"
-        within = within.when(attached, F.array(_node(F.concat(path, F.array(F.lit(1))), F.col("body"), cut, F.lit(False))))
+    attached = mime.trimmed(F.split("kind", ";")[0]) == "message/rfc822"
+    within = F.when(F.col("mark") != "", _listed(pieces, cut, path)).when(attached, F.array(_node(F.concat(path, F.array(F.lit(1))), F.col("body"), cut, F.lit(False))))
     return df.select(*keys, F.explode_outer(within.otherwise(own)).alias("node"))
 
 
-def leaves(mails: DataFrame, keys: list[str], mail: str = "mail", cut: Column | None = None, listed: bool = True) -> DataFrame:
+def leaves(mails: DataFrame, keys: list[str], mail: str = "mail", cut: Column | None = None) -> DataFrame:
     """The keys with path, depth, too_deep, cut, head and body of every leaf of the tree; where a container
     has no parts, a row whose path is null."""
     start = _node(F.array().cast("array<int>"), F.coalesce(F.col(mail).cast("string"), F.lit("")), F.lit(False) if cut is None else F.coalesce(cut, F.lit(False)), F.lit(False))
     df = mails.select(*keys, start.alias("node"))
     for _ in range(DEPTH + 1):
-        df = _level(df, keys, listed)
+        df = _level(df, keys)
     df = df.withColumn("cuts", mime.head_and_body(F.col("node.raw")))
     # Only nodes below the last level that is opened are not yet known to be leaves.
     return df.select(*keys, F.col("node.path").alias("path"), F.size("node.path").alias("depth"), ((F.size("node.path") > DEPTH) & ~F.col("node.leaf")).alias("too_deep"), F.col("node.cut").alias("cut"), F.get("cuts", F.lit(0)).alias("head"), F.coalesce(F.get("cuts", F.lit(1)), F.lit("")).alias("body"))
@@ -85,17 +76,48 @@ def parts(mails: DataFrame, keys: list[str], mail: str = "mail", cut: Column | N
     return found.select(*keys, F.array_join(F.transform("path", lambda i: i.cast("string")), ".").alias("path"), "depth", known(kind).alias("type"), known(mime.filename(F.col("head"))).alias("filename"), known(~F.col("cut")).alias("complete"))
 
 
+def _opened(nodes: Column) -> Column:
+    """One step down for an array of nodes (raw, leaf), each replaced in place by its parts or by itself as a leaf."""
+    node = lambda raw, leaf: F.struct(raw.alias("raw"), F.lit(leaf).alias("leaf"))
+    clean = lambda s: F.regexp_replace(F.regexp_replace(s, r"\A\r?\n", ""), r"\r?\n--\s*\z", "")
+
+    def parts_of(raw: Column, cuts: Column, kind: Column) -> Column:
+        within = F.filter(F.transform(mime.segments(F.coalesce(F.get(cuts, F.lit(1)), F.lit("")), mime.boundary(kind)), clean), lambda s: s.rlike(r"\S") & ~s.rlike(r"\A\s*--\s*\z"))
+        return F.when(F.lower(kind).startswith("multipart/") & (mime.boundary(kind) != ""), F.transform(within, lambda s: node(s, False))).otherwise(F.array(node(raw, True)))
+
+    def one(n: Column) -> Column:
+        opened = mime.bound(mime.head_and_body(n["raw"]), lambda cuts: mime.bound(mime.header(F.get(cuts, F.lit(0)), "content-type"), lambda kind: parts_of(n["raw"], cuts, kind)))
+        return F.when(n["leaf"], F.array(n)).otherwise(opened)
+
+    # Most mails have no more to open after few steps.
+    return F.when(F.exists(nodes, lambda n: ~n["leaf"]), F.flatten(F.transform(nodes, one))).otherwise(nodes)
+
+
+def _known(n: Column) -> Column:
+    """A node after the last step as kind and text: deep, html, plain, attached or null, and its decoded text."""
+    def told(cuts: Column, kind: Column) -> Column:
+        head, body = F.get(cuts, F.lit(0)), F.coalesce(F.get(cuts, F.lit(1)), F.lit(""))
+        name = F.when(~n["leaf"], "deep").when(kind.startswith("text/html"), "html").when(kind.startswith("text/plain") | (kind == ""), "plain").when(kind.startswith("message/rfc822"), "attached")
+        text = F.when(name == "attached", mime.trimmed(body)).when(name.isin("html", "plain"), mime.decoded(body, mime.header(head, "content-transfer-encoding")))
+        return F.struct(name.alias("kind"), text.alias("text"))
+
+    return mime.bound(mime.head_and_body(n["raw"]), lambda cuts: mime.bound(F.lower(mime.header(F.get(cuts, F.lit(0)), "content-type")), lambda kind: told(cuts, kind)))
+
+
 def texts(mails: DataFrame, keys: list[str], mail: str = "mail", carried: tuple[str, ...] = ()) -> DataFrame:
     """plain, html and attached of each mail: the first of each kind that is not empty, else ''; and
-    too_deep, how many nodes were below the tenth level.  ``keys`` must tell mails apart; columns
-    ``carried`` come along."""
-    found = leaves(mails, [*keys, *carried], mail, listed=False).withColumn("kind", F.lower(mime.header(F.col("head"), "content-type")))
-    known = F.when(F.col("too_deep"), "deep").when(F.col("kind").startswith("text/html"), "html").when(F.col("kind").startswith("text/plain") | (F.col("kind") == ""), "plain").when(F.col("kind").startswith("message/rfc822"), "attached")
-    found = found.withColumn("kind", F.when(F.col("path").isNotNull(), known))
-    text = F.when(F.col("kind") == "attached", mime.trimmed(F.col("body"))).otherwise(mime.decoded(F.col("body"), mime.header(F.col("head"), "content-transfer-encoding")))
-    found = found.select(*keys, *carried, "path", "kind", F.when(F.col("kind").isin("html", "plain", "attached"), text).alias("text"))
-    first = lambda kind: F.coalesce(F.min_by("text", F.when((F.col("kind") == kind) & (F.col("text") != ""), F.col("path"))), F.lit("")).alias(kind)
-    return found.groupBy(*keys).agg(*(F.first(c).alias(c) for c in carried), first("plain"), first("html"), first("attached"), F.count_if(F.col("kind") == "deep").alias("too_deep"))
+    too_deep, how many nodes were below the tenth level.  Columns ``carried`` come along.
+
+    A mail's nodes are an array of its row, in the order of the tree, so nothing is moved and ``keys`` may repeat.
+    """
+    start = F.array(F.struct(F.coalesce(F.col(mail).cast("string"), F.lit("")).alias("raw"), F.lit(False).alias("leaf")))
+    df = mails.select(*keys, *carried, start.alias("nodes"))
+    opened = _opened(F.col("nodes")).alias("nodes")
+    for _ in range(DEPTH + 1):
+        df = df.select(*keys, *carried, opened)
+    df = df.select(*keys, *carried, F.transform("nodes", _known).alias("nodes"))
+    first = lambda kind: F.coalesce(F.get(F.filter("nodes", lambda n: (n["kind"] == kind) & (n["text"] != "")), F.lit(0))["text"], F.lit("")).alias(kind)
+    return df.select(*keys, *carried, first("plain"), first("html"), first("attached"), F.size(F.filter("nodes", lambda n: n["kind"] == "deep")).cast("bigint").alias("too_deep"))
 
 
 # -- forwards -------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import mime
 from .operators import mail
-from .registry import query, table
+from .registry import query, spread, table
 
 #: What the mail of document n is, by n modulo their number.
 SHAPES = ("plain", "escaped", "coded html", "alternative", "nested", "inline", "attached", "resent", "body", "cut")
@@ -68,7 +68,7 @@ def mails(docs: DataFrame) -> DataFrame:
 
 
 def _mails(spark, sf_dir) -> DataFrame:
-    return mails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return mails(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 _SHAPED = "d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 10 AS shape, doc_id % 12 AS levels FROM documents)"
