@@ -24,7 +24,12 @@ def bound(value: Column, then) -> Column:
 
 def head_and_body(raw: Column) -> Column:
     """A mail cut at its first blank line: one or two texts."""
-    return F.split(raw, BLANK_LINE, 2)
+    # Splitting with a limit of two would search the whole body for further blank lines.
+    def cut(blank: Column) -> Column:
+        head = F.call_function("substring_index", raw, blank, F.lit(1))
+        return F.when(blank != "", F.array(head, F.substring(raw, F.length(head) + F.length(blank) + 1, F.length(raw)))).otherwise(F.array(raw))
+
+    return bound(F.regexp_extract(raw, f"(?:{BLANK_LINE})", 0), cut)
 
 
 def unfolded(head: Column) -> Column:

@@ -190,3 +190,22 @@ def test_parts_of_a_mail_stay_in_their_task(spark):
     assert "Exchange" not in plan
 
 
+
+
+def test_mails_are_read_without_moving_them_and_ids_may_repeat(spark):
+    """Parts stay in the row of their mail; before, rows were grouped by id, so repeated ids were mixed up."""
+    df = spark.createDataFrame([(1, "a: b\n\nfirst"), (1, "a: b\n\nsecond"), (2, None)], "id int, mail string")
+    found = mail.texts(df, ["id"])
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "first", "", "", 0), (1, "second", "", "", 0), (2, "", "", "", 0)]
+    for rows in (found, mail.unwrapped(df, ["id"]), mail.distilled(df, ["id"])):
+        assert "Exchange" not in rows._jdf.queryExecution().sparkPlan().toString() and "Aggregate" not in rows._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_heads_end_at_the_first_blank_line(spark):
+    raws = ["a\n\nb\n\nc", "a\r\n\r\nb", "a\n\r\nb", "a\r\n\nb", "\n\nb", "é🎉\n\n🎉b", "no blank\nline", "", "a\n\n", None, "x\r\r\n\n\nb"]
+    assert one(spark, raws, mime.head_and_body) == one(spark, raws, lambda v: F.split(v, mime.BLANK_LINE, 2))[:9] + [[None]] + [["x\r", "\nb"]]
+
+
+def test_trimming_takes_every_white_space(spark):
+    texts = [" \t\n\x0b\f\ra b\r\f\x0b\n\t ", " a ", "", " \n ", None, "é🎉 "]
+    assert one(spark, texts, mime.trimmed) == one(spark, texts, lambda v: F.regexp_replace(v, r"\A\s+|\s+\z", ""))
