@@ -180,3 +180,40 @@ def test_flips_beside_one_another_equal_joined_flips(spark):
     df = spark.createDataFrame(rows, "k int, scorer string, predicted string, right boolean")
     want = E.flips(df.filter("scorer = 'b'"), df.filter("scorer = 'a'"), ["k"]).select("k", "was", "predicted").collect()
     assert sorted(E.flips_beside(df, ["k"], F.col("scorer") == "a").collect()) == sorted(want) and len(want) == 5
+
+
+def test_leads_are_beginnings_of_all_matches(spark):
+    """A signal is found in no text without a word that begins as its leads say, so gates change nothing."""
+    words = ["i have", "it is", "your", "tasks", "task", "re-register your identity", "fees", "the fee", "claims", "hello  mum", "hi dad", "conveyancing", "e-toll", "recovery", "Bank details", "scan this qr code", "new voicemail", "jackpots", "immigration", "não", "ésend me the code", "send\u00a0me", "_fee"]
+    phrases = sorted({v for region in lexicon.PACKS for own in M.LISTED.values() for v in lexicon.pack(region)[own]})
+    texts = [t for _, t in lures.MESSAGES] + words + phrases + [p + s for p in phrases for s in ("s", "ed", "ing", "é", "_", "x")] + [". ".join(phrases[i::7]) for i in range(7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, raw string").repartition(4)
+    for region in ("AU", "GB"):
+        found = M.signals(SPARK, region)
+        read = M._stepped(df, [*M.reading("raw", "t"), *M.wording((region,)), [f"{M.clean_clauses(SPARK)} AS all_clauses"]])
+        gated = {k: v for k, v in M.searched(found, region).items() if v != found[k]}
+        assert len(gated) >= 28
+        same = " AND ".join(f"({v}) = ({found[k]})" for k, v in gated.items() if k not in M.IN_CLAUSES)
+        in_clauses = " AND ".join(f"({gated[k]}) = ({found[k].replace('(s,', '(all_clauses,')})" for k in M.IN_CLAUSES)
+        rows = read.selectExpr("raw", f"{same} AND {in_clauses} AS same", f"t = {M.readable(SPARK, 'raw')} AS alike").collect()
+        assert [r["raw"] for r in rows if not (r["same"] and r["alike"])] == [] and len(rows) == len(texts)
+
+
+def test_texts_are_read_alike_in_steps_and_at_once(spark):
+    texts = ["", "a  b\tc", "x\t\ty", "hxxps[:]//b[.]top/", "([.])", "https://a.com./x", "-- forwarded message --\n>hi", "\x01\x02", "\u2018x\u2019 \u201cy\u201d \u2014", "\uff11\uff12", "\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0416", "ÁÉ\u0301 ur\u200bgent ß İ \u212a", "\U0001f600 > b", "Begin forwarded message: x"]
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    rows = M._stepped(df, M.reading("raw", "t")).selectExpr("raw", "t", f"{M.readable(SPARK, 'raw')} AS at_once").collect()
+    assert [tuple(r) for r in rows if r["t"] != r["at_once"]] == []
+
+
+def test_rows_that_keep_their_score_are_not_weighed(spark):
+    """The violations are searched for in the rewritten texts that may have other signals, and none is lost."""
+    from plumbline import query_messages as Q
+
+    texts = [t for _, t in lures.MESSAGES] + ["", None, "urgеnt, act now", "ж" * 40, "Lottery"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    ways = Q._transforms(SPARK) | {"cut": (False, "substring(text, 1, 20)"), "none": (True, "CAST(NULL AS STRING)"), "Cyrillic": (True, "translate(text, 'a', 'а')"), "mixed": (True, "concat(text, ' xж')")}
+    every, some = (M.rewritten(df, ways, ("id",), differing=d) for d in (False, True))
+    broken = lambda rows: sorted(tuple(r) for r in rows.filter("score <> was").select("id", "relation", "was", "score").collect())
+    assert broken(some) == broken(every) and {r[1] for r in broken(every)} >= {"cut", "none", "mixed"}
+    assert some.count() < every.count() / 2
