@@ -217,3 +217,61 @@ def test_rows_that_keep_their_score_are_not_weighed(spark):
     broken = lambda rows: sorted(tuple(r) for r in rows.filter("score <> was").select("id", "relation", "was", "score").collect())
     assert broken(some) == broken(every) and {r[1] for r in broken(every)} >= {"cut", "none", "mixed"}
     assert some.count() < every.count() / 2
+
+
+def _generated(plan) -> list[int]:
+    """Rows that came out of each explode of a plan that has run."""
+    own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "Generate" else []
+    below = plan.children()
+    return own + [n for i in range(below.size()) for n in _generated(below.apply(i))]
+
+
+def test_each_folded_text_of_a_row_is_searched_once(spark):
+    """Ways that lead to the same folded text, and to the row's own, do not have it searched again."""
+    from plumbline import query_messages as Q
+
+    texts = [t for _, t in lures.MESSAGES]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    ways = Q._stacked(SPARK)
+    out = M.rewritten(df, ways, ("id",))
+    assert len(out.collect()) == len(texts) * len(ways)
+    each = df.select("id", F.explode(F.array(*(F.expr(x) for _, x in ways.values()))).alias("raw"))
+    distinct = each.selectExpr("id", M.readable(SPARK, "raw") + " AS t").distinct().count()
+    assert min(_generated(out._jdf.queryExecution().executedPlan())) == distinct < len(texts) * len(ways) / 2
+
+
+def test_texts_with_more_behind_are_read_whole(spark):
+    """A forward's head, a link's last dot and runs of blanks may go on in what a rewriting adds."""
+    family = "Hi mum, this is my new number, I lost my phone and need to pay a bill"
+    texts = ["-- forwarded message", "--", "begin forwarded", "> ", "", " ", "a", "hi", "act", "https://evri-help.xyz.", "URGENT ", "Été ΣΣ", "x (", "> -- original message --> a", "​>’ pay"]
+    more = [" -- " + family, " forwarded message -- " + family, " message: " + family, " now", "  now", " .com/ act now", ".)/", " mum, this is my new number, I lost my phone and need to pay a bill", " Σ délivery failed", "́ unpaid toll", "​", "s now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    ways = {str(i): (False, f"concat(text, '{m}')") for i, m in enumerate(more)} | {"q" + str(i): (False, f"concat('>> ', text, '{m}')") for i, m in enumerate(more)}
+    got = {(r["id"], r["relation"]): r["score"] for r in M.rewritten(df, ways, ("id",)).collect()}
+    plain = df.select("id", F.explode(F.array(*(F.struct(F.lit(n).alias("relation"), F.expr(x).alias("text")) for n, (_, x) in ways.items()))).alias("r")).select("id", "r.*")
+    whole = plain.selectExpr("id", "relation", M.readable(SPARK, "text") + " AS text")
+    for rows in (plain, whole):
+        assert got == {(r["id"], r["relation"]): r["score"] for r in M.scored(rows).collect() if (r["id"], r["relation"]) in got}
+    assert got[(0, "0")] == 45 and len(set(got.values())) > 4
+
+
+def test_phrases_by_letter_find_what_lists_find(spark):
+    from plumbline.dialect import phrases
+
+    for region in ("AU", "DE"):
+        p = lexicon.pack(region)
+        own = [p[name] for name in (*M.LISTED.values(), "service", "family", "money_ask", "pretext", "crypto", "no_link_senders", "exchanges")]
+        every = sorted({v for values in own for v in values})
+        texts = [t.lower() for _, t in lures.MESSAGES] + [v + e for v in every for e in ("", "s", "ed", "x", "é")] + [" ".join(every[i::5]) for i in range(5)] + ["-".join(every[i::3]) for i in range(3)]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        same = " AND ".join(f"{SPARK.every('t', phrases(v, inflected))} = {SPARK.every('t', SPARK.phrases(v, inflected))}" for v in own for inflected in (True,))
+        assert df.filter(f"NOT ({same})").count() == 0
+
+
+def test_every_letter_is_read_as_at_once(spark):
+    """One map of letters gives what the steps one after another give, letter by letter and among others."""
+    letters = [chr(c) for c in (*range(1, 0x590), *range(0x1E00, 0x2070), 0x212A, 0xFEFF, *range(0xFF00, 0xFF60), 0x1F600)]
+    texts = letters + [f"A{c} {c}́BΣ{c}" for c in letters]
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    rows = M._stepped(df, M.reading("raw", "t")).selectExpr("raw", "t", f"{M.readable(SPARK, 'raw')} AS at_once")
+    assert [tuple(r) for r in rows.collect() if r["t"] != r["at_once"]] == []
