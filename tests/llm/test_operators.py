@@ -73,6 +73,17 @@ def test_exact_dedup_checks_whole_texts(docs):
     assert got == len({(t or "").translate(LOWER) for _, t in corpus()})
 
 
+def test_exact_dedup_checks_texts_without_repeating_digests(spark):
+    """The check of full bytes repeats no digest for each part and broadcasts nothing; a lone text is no fault."""
+    rows = [(i, "a", "copy") for i in range(100)] + [(i, "b", f"text {i % 2}") for i in range(2, 100, 48)] + [(None, "c", "x"), (7, "c", "y"), (8, "d", "alone")]
+    texts = spark.createDataFrame(rows, "doc_id bigint, digest string, body string")
+    shared = exact_dedup._shared_digests(texts)
+    plan = shared._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Broadcast" not in plan
+    assert sorted(r["digest"] for r in shared.collect()) == ["c"]
+    assert sorted(r["digest"] for r in exact_dedup._shared_digests(texts.withColumn("body", F.concat("body", F.expr("IF(doc_id IN (3, 50), 'z', '')")))).collect()) == ["a", "b", "c"]
+
+
 def test_sharding(docs):
     rows = sharding.shard(docs, 24).collect()
     assert len(rows) == len(corpus())
