@@ -121,6 +121,25 @@ def test_packs_add_and_never_take_away(spark):
     assert all(r["weaker"] == 0 for r in rows.values()) and rows["AU"]["stronger"] > 0
 
 
+def test_every_pack_is_set_beside_none_on_every_message(spark, tmp_path):
+    """All packs and all rows, rows without a key or half of one included; their own texts are read."""
+    import duckdb
+
+    from plumbline import query_messages as Q
+    from plumbline import registry
+
+    rows = [(1, 1, "hello"), (1, 2, None), (None, 1, "Royal Mail: outstanding tax, urgent"), (2, None, "SingPost: urgent, act now"), (None, None, "An Post: act now"), (None, 7, None), (3, 1, "la poste"), (3, 1, "la poste")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, text string").selectExpr("*", "'user' AS role").write.parquet(f"{tmp_path}/conversations.parquet")
+    columns = ("region", "n", "stronger", "weaker", "false_alarms")
+    got = {r["region"]: tuple(r[c] for c in columns) for r in Q.region_monotonicity(spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duck.sql(registry.SQL["region_monotonicity"]).select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall()
+    assert sorted(got.values()) == sorted(want) and set(got) == set(lexicon.PACKS)
+    assert {r[1] for r in got.values()} == {6 + 2 * 2}  # each of two rows of one key is set beside both
+    assert got["GB"][2] > got["ZZ"][2] == 0 and got["SG"][2] > 0 and got["IE"][2] > 0
+
+
 def test_messages_are_dealt_over_tasks(spark):
     """The table is one row group, so without dealing one task would read all texts."""
     from plumbline import query_messages as Q
