@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import quality
+from plumbline.llm import exact_dedup, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -122,3 +122,14 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         assert found is not None, run
         want -= Counter([found])
     assert not want
+
+
+def test_exact_stage_sends_no_repeated_digests_through_the_driver(spark, monkeypatch):
+    """Whatever Spark's broadcast threshold, the stage's check of full bytes repeats and broadcasts no digests."""
+    checks, own = [], exact_dedup._shared_digests
+    monkeypatch.setattr(exact_dedup, "_shared_digests", lambda *given: checks.append(own(*given)) or checks[-1])
+    docs = spark.createDataFrame([(i, f"Text {i % 7}", "x") for i in range(40)] + [(None, "TEXT 1", "y"), (50, None, "z")], "doc_id bigint, text string, source string")
+    kept = corpus_pipeline.exact_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [33, 34, 35, 36, 37, 38, 39, 50]
+    plans = [c._jdf.queryExecution().toString() for c in checks]
+    assert len(plans) == 1 and "Generate" not in plans[0] and "Broadcast" not in plans[0]
